@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that they are held against."""
 
 from accordant.llm import minhash_dedup
+from accordant.llm.best_fit_packing import op4_best_fit_packing
 from accordant.llm.language_id import op7_language_id
 from accordant.llm.minhash_dedup import op5_minhash_dedup
 from accordant.llm.suffix_array_dedup import op1_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_minhash_dedup, op7_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_best_fit_packing, op5_minhash_dedup, op7_language_id)}
 ORACLES = {"op5_minhash_dedup": minhash_dedup.ORACLE_SQL}
