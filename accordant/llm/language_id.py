@@ -122,10 +122,10 @@ class Parser:
         return out
 
 
-def _predict(samples: dict[str, list[bytes]], key: str, text_col: str):
+def _predict(samples: dict[str, list[bytes]], key: str, text_col: str, added: tuple[str, str, str]):
     def run(batches):
         parser = Parser.of(key, samples)
-        names = np.array([*parser.languages, None], object)
+        languages = np.array(parser.languages, object)
         for batch in batches:
             text = batch.column(text_col)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -152,13 +152,13 @@ def _predict(samples: dict[str, list[bytes]], key: str, text_col: str):
                     order = np.argsort(total, axis=1, kind="stable")
                     best = np.take_along_axis(total, order[:, :1], 1)[:, 0]
                     rest = np.take_along_axis(total, order[:, 1:2], 1)[:, 0] if total.shape[1] > 1 else best
-                    lang[known] = names[order[known, 0]]
+                    lang[known] = languages[order[known, 0]]
                     score[known] = rest[known] / np.maximum(rest + best, 1)[known]
                 lang[~known] = "und"
                 rate = np.where(known, total.min(axis=1) / np.maximum(size, 1), 0.0) if total.shape[1] else np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(i, j - i) for c in batch.schema.names), pa.array(lang, pa.string()), pa.array(score), pa.array(rate)],
-                    [*batch.schema.names, "lang_pred", "score", "phrase_rate"],
+                    [*batch.schema.names, *added],
                 )
 
     return run
@@ -191,19 +191,18 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     return {k: v for k, v in out.items() if v}
 
 
-def identify(docs: DataFrame, samples: dict[str, list[bytes]], *, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, list[bytes]], *, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1: 0.5 is a tie, 0 for ``und``) and ``phrase_rate`` (phrases per byte).
 
     ``und`` stands for a null or empty text and for one without a letter, and for all texts if nothing was learned.
     Ties go to the first language by name. Texts are read whole. Rows, null ids and other columns are kept as they are;
-    a column with one of the three names is replaced.
+    a column with one of the three ``names`` is replaced.
     """
     ship(docs.sparkSession)
-    added = ["lang_pred", "score", "phrase_rate"]
-    base = docs.drop(*added)
+    base = docs.drop(*names)
     key = xxhash.xxh3_64_hexdigest(repr(sorted(samples.items())).encode())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "lang_pred string, score double, phrase_rate double"])
-    return base.mapInArrow(_predict(samples, key, text_col), schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), f"{names[0]} string, {names[1]} double, {names[2]} double"])
+    return base.mapInArrow(_predict(samples, key, text_col, names), schema)
 
 
 def held_out(id_col: str, parts: int, which: int):

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_FOLDER = "/tmp/checkpoints"
 #: A side of a join is broadcast up to this many rows of fixed width; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,7 +46,13 @@ def dropped(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once a session, for sessions whose workers can't import it."""
+    """Sends this package to the Python workers once a session, for sessions whose workers can't import it.
+
+    Arrow batches of whole texts are kept small as well: ten thousand long rows a batch, Spark's default, cost hundreds
+    of MB on either side of the pipe. A number that the session sets itself stays.
+    """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_accordant_shipped", False):
         return

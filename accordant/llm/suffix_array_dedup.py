@@ -317,20 +317,23 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LEN
     return placed.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def _cut(whole_chars: bool):
-    """Per text: its bytes without the merged spans."""
+_DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _cut(digest: bool):
+    """Per text (``_text``, ``_spans``) its bytes without the merged spans: their digest, or the text ``_kept``."""
 
     def run(batches):
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
+            data, at = utf8(batch.column("_text"))
+            n_bytes, n_removed, n_spans, hashes, kept = [], [], [], [], []
             for r in range(batch.num_rows):
                 text = data[at[r] : at[r + 1]]
-                spans = batch.column("spans")[r].as_py()
-                left, removed, count = text, 0, 0
+                spans = batch.column("_spans")[r].as_py()
+                left, count = text, 0
                 if spans:
                     a, b = _merge(np.array([s["a"] for s in spans], np.int64), np.array([s["b"] for s in spans], np.int64))
-                    if whole_chars:  # a cut character stays whole
+                    if not digest:  # a cut character stays whole
                         inside = np.append((text & 0xC0) == 0x80, False)
                         for k in range(len(a)):
                             while inside[a[k]]:
@@ -341,37 +344,52 @@ def _cut(whole_chars: bool):
                     keep = np.ones(len(text), bool)
                     keep[ranges(a, b - a)] = False
                     left = text[keep]
-                    removed = len(text) - len(left)
                 raw = left.tobytes()
-                n_bytes.append(len(text))
-                n_removed.append(removed)
-                n_spans.append(count)
-                digest.append(hashlib.sha256(raw).hexdigest())
-                if whole_chars:
-                    kept.append(raw.decode("utf-8"))
-            arrays = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if whole_chars:
-                arrays.append(pa.array(kept, pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "spans")), *arrays], [*(c for c in batch.schema.names if c not in ("text", "spans")), *names])
+                if digest:
+                    n_bytes.append(len(text))
+                    n_removed.append(len(text) - len(left))
+                    n_spans.append(count)
+                    hashes.append(hashlib.sha256(raw).hexdigest())
+                else:
+                    kept.append(raw.decode() if count or batch.column("_text")[r].is_valid else None)
+            added = dict(zip(("n_bytes", "n_removed", "n_spans"), (pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)))) | {"kept_sha256": pa.array(hashes, pa.string())} if digest else {"_kept": pa.array(kept, pa.string())}
+            same = [c for c in batch.schema.names if c not in ("_text", "_spans")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), *added.values()], [*same, *added])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    rows = docs.withColumn("row", F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(text_col)))
+    spans = repeated_spans(rows.select("row", F.col(text_col).alias("text")), length=length)
+    return rows.join(spans.withColumnRenamed("spans", "_spans"), "row", "left")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` for each row: what is left without each repeated string.
 
     A byte is removed if it is covered by ``length`` bytes that also start anywhere else, in the same text or another;
-    strings overlap and are judged on the input. ``with_text`` adds ``kept_text`` and then keeps characters that a span
-    cuts whole, so counts and digest are those of that text. Null texts are empty: 0 bytes, the digest of nothing. Texts
-    shorter than ``length`` stay as they are. Equal rows are texts of their own, so they remove one another. Null and
-    repeated ids are kept as they are; other columns are ignored; no rows give no rows.
+    strings overlap and are judged on the input. Null texts are empty: 0 bytes, the digest of nothing. Texts shorter
+    than ``length`` stay as they are. Equal rows are texts of their own, so they remove one another. Null and repeated
+    ids are kept as they are; other columns are ignored; no rows give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64(F.col("id").cast("string"), F.lit("|"), "text"))
-    spans = repeated_spans(rows, length=length)
-    schema = "id " + docs.schema[id_col].dataType.simpleString() + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return rows.join(spans, "row", "left").select("id", "text", "spans").mapInArrow(_cut(with_text), schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _with_spans(rows, "id", "text", length).select("id", F.col("text").alias("_text"), "_spans")
+    return found.mapInArrow(_cut(True), f"id {docs.schema[id_col].dataType.simpleString()}, {_DIGEST}")
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs``, all rows and columns, with each text as ``remove_repeats`` leaves it; a character that a span's end
+    would cut stays whole. Null texts stay null; a text may become empty."""
+    others = [c for c in docs.columns if c != text_col]
+    # columns by number, so that no name can clash
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    number = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    found = _with_spans(named, number[id_col], number[text_col], length)
+    found = found.select(*(number[c] for c in others), F.col(number[text_col]).alias("_text"), "_spans")
+    schema = ", ".join([*(f"{number[c]} {docs.schema[c].dataType.simpleString()}" for c in others), "_kept string"])
+    out = found.mapInArrow(_cut(False), schema)
+    return out.select(*(F.col("_kept" if c == text_col else number[c]).alias(c) for c in docs.columns))
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel handles at once; a longer document is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
