@@ -7,8 +7,9 @@ from accordant.llm.embedding_dedup import op6_embedding_dedup
 from accordant.llm.html_extraction import op2_html_extraction
 from accordant.llm.language_id import op7_language_id
 from accordant.llm.minhash_dedup import op5_minhash_dedup
+from accordant.llm.quality import op10_quality
 from accordant.llm.suffix_array_dedup import op1_suffix_array_dedup
 from accordant.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op4_best_fit_packing, op5_minhash_dedup, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_html_extraction, op4_best_fit_packing, op5_minhash_dedup, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_toxicity, op10_quality)}
 ORACLES = {"op8_decontamination": decontamination.ORACLE_SQL, "op5_minhash_dedup": minhash_dedup.ORACLE_SQL, "op6_embedding_dedup": embedding_dedup.ORACLE_SQL}
