@@ -4,7 +4,7 @@
    equal windows have equal anchors at equal places. Windows in a row with the same anchor are one stretch.
 2. Stretches with an anchor that occurs once hold no repeat. Of the others, stretches of equal content collapse, and
    two occurrences of each content go on.
-3. Anchors are dealt to blocks of bounded size. A block lines up its stretches, sorts their suffixes as far as
+3. Anchors are dealt to blocks of bounded size, those of one part of a text together. A block lines up its stretches, sorts their suffixes as far as
    ``length`` bytes, takes the Burrows-Wheeler transform and extends intervals backwards, breadth first, one byte a
    level: the common prefix of neighbouring suffixes comes out by increasing value, and the search ends at ``length``.
    Neighbours that are still apart by no value then share ``length`` bytes or more.
@@ -23,13 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.shared import saved, ship
+from accordant.llm.shared import BROADCAST_ROWS, saved, ship
 from accordant.llm.textbytes import U, chunks, prefix_hash, ranges, span_hash, utf8
 
 LENGTH = 400
 GRAM = 128
 #: Bytes of a block, and the number of different stretches above which an anchor counts as hot.
-BLOCK, HOT = 600_000, 512
+BLOCK, HOT = 1_000_000, 256
+#: Bytes of a text whose anchors share a block.
+HOME = 4096
+#: Bytes by which the cores of a window's two ends differ, see ``_hopeful``.
+STEP = 16
 #: UTF-8 never has this byte: it ends each run of text in a block.
 END = 255
 
@@ -41,7 +45,7 @@ def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, U)
     for k in range(8):
         key = (key << U(8)) | padded[k : n + k].astype(U)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     new = np.concatenate(([True], k[1:] != k[:-1]))
     # a suffix's rank is the place of the first of its group, so groups can be sorted apart
@@ -58,7 +62,7 @@ def _sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         at = ranges(heads[big], size[big])  # places in order that aren't settled
         who = order[at]
         two = (rank[who] << 32) | rank[np.minimum(who + held, n)]
-        sub = np.argsort(two, kind="stable")
+        sub = np.argsort(two)
         order[at] = who[sub]
         two = two[sub]
         first = np.concatenate(([True], two[1:] != two[:-1]))
@@ -177,55 +181,56 @@ def _stretches(length: int, gram: int):
     most = 1 << (_PLACE - 1)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, at = utf8(batch.column("text"))
-            cols: list[list] = [[], [], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             held = 0
             for r in range(batch.num_rows):
                 text = data[at[r] : at[r + 1]]
                 raw = text.tobytes()
                 for cut in range(0, max(len(text) - length + 1, 1), most):
-                    hashes, _, first, last = anchors(text[cut : cut + most + length - 1], length, gram)
+                    hashes, place, first, last = anchors(text[cut : cut + most + length - 1], length, gram)
                     m = len(hashes)
                     if not m:
                         continue
                     start, stop = first + cut, last + cut + length
-                    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist())]), np.int64).reshape(m, 2)
-                    for c, x in zip(cols, (np.arange(serial, serial + m), np.full(m, batch.column("row")[r].as_py()), hashes.view(np.int64), start, stop - start, digest[:, 0], digest[:, 1])):
+                    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist())), U, m)
+                    for c, x in zip(cols, (np.full(m, r), hashes.view(np.int64), digest.view(np.int64), start, stop - start, place - first)):
                         c.append(x)
-                    serial += m
                     held += m
-                if held > 50_000 or (r == batch.num_rows - 1 and held):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols[:7]], ["serial", "row", "anchor", "start", "size", "d1", "d2"])
-                    cols, held = [[], [], [], [], [], [], [], []], 0
+                if held > 20_000 or (r == batch.num_rows - 1 and held):
+                    rows, anchor, digest, start, size, place = (np.concatenate(c) for c in cols)
+                    same = [batch.column(c).take(pa.array(rows)) for c in ("row", "weight")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(anchor), pa.array(digest), *(pa.array(x, pa.int32()) for x in (start, size, place))], ["row", "weight", "anchor", "digest", "start", "size", "place"])
+                    cols, held = [[], [], [], [], [], []], 0
 
     return run
 
 
+_STRETCH_DDL = "row binary, weight long, anchor long, digest long, start int, size int, place int"
+
+
 def _slices(batches):
-    """The bytes of the stretches of each text: all stretches of a row come with it."""
+    """The bytes of the stretches that come with each text, one row each."""
     for batch in batches:
         data, at = utf8(batch.column("text"))
-        out: list[dict] = []
-        size = 0
-        for r in range(batch.num_rows):
-            text = data[at[r] : at[r + 1]]
-            for s in batch.column("stretches")[r].as_py():
-                out.append({"serial": s["serial"], "row": batch.column("row")[r].as_py(), "anchor": s["anchor"], "start": s["start"], "d1": s["d1"], "d2": s["d2"], "n": s["n"], "hot": s["hot"], "bytes": text[s["start"] : s["start"] + s["size"]].tobytes()})
-                size += s["size"]
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(out, schema=_SLICE)
-                    out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_SLICE)
+        lists = batch.column("stretches")
+        counts = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        start, size = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "size"))
+        base = np.repeat(at[:-1], counts)
+        rows = batch.column("row").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
+        cuts = np.concatenate(([0], np.cumsum(size)))
+        for i, j in chunks(cuts, 1 << 21):
+            own = data[ranges((base + start)[i:j], size[i:j])]
+            offsets = (cuts[i : j + 1] - cuts[i]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+            yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), *(flat.field(c).slice(i, j - i) for c in _CARRIED), packed], ["row", *_CARRIED, "bytes"])
 
 
-_SLICE = pa.schema([("serial", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("start", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("bytes", pa.binary())])
-_SLICE_DDL = "serial long, row long, anchor long, start long, d1 long, d2 long, n long, hot boolean, bytes binary"
-_SPAN_DDL = "anchor long, d1 long, d2 long, a long, b long"
+_CARRIED = ("anchor", "digest", "start", "place", "n", "twice", "hot", "home")
+_SLICE_DDL = "row binary, anchor long, digest long, start int, place int, n long, twice boolean, hot boolean, home long, bytes binary"
+_SPAN_DDL = "anchor long, digest long, spans array<struct<a: int, b: int>>"
 
 
 def _merge(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,37 +241,69 @@ def _merge(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]
 
 
-def _block(length: int):
+def _hopeful(frame: pd.DataFrame, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each stretch the first and last window that may repeat in the block; first > last if none may.
+
+    A window whose anchor is l bytes in, l from k * STEP to (k + 1) * STEP, holds the core from k * STEP before the
+    anchor to length - (k + 1) * STEP behind that; equal windows have equal anchors and so equal cores.
+    """
+    sizes = frame["bytes"].map(len).to_numpy()
+    heads = np.cumsum(sizes) - sizes
+    sums = prefix_hash(np.frombuffer(b"".join(frame["bytes"]), np.uint8))
+    place = frame["place"].to_numpy().astype(np.int64)
+    last = sizes - length  # of the windows' starts
+    step = max(1, min(STEP, length // 8))
+    keys, who, ks = [], [], []
+    for k in range(-(-(length - gram) // step)):
+        some = np.flatnonzero((place - last <= (k + 1) * step) & (place >= k * step))
+        begin = heads[some] + place[some] - k * step
+        keys.append(span_hash(sums, begin, begin + length - step) ^ frame["anchor"].to_numpy()[some].view(U) * U(2 * k + 1))
+        who.append(some)
+        ks.append(np.full(len(some), k))
+    keys, who, ks = np.concatenate(keys), np.concatenate(who), np.concatenate(ks)
+    order = np.argsort(keys, kind="stable")
+    keys, who, ks = keys[order], who[order], ks[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    size = np.diff(np.append(np.flatnonzero(new), len(keys)))
+    shared = np.repeat(size > 1, size)
+    who, ks = who[shared], ks[shared]
+    lo, hi = np.full(len(frame), 1 << 40), np.full(len(frame), -1)
+    np.minimum.at(lo, who, np.maximum(place[who] - (ks + 1) * step, 0))
+    np.maximum.at(hi, who, np.minimum(place[who] - ks * step, last[who]))
+    return lo, hi
+
+
+def _block(length: int, gram: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        # a place of a text is in the block once, though its stretches overlap; equal rows are texts of their own
-        frame = frame.drop_duplicates("serial").sort_values(["row", "start", "serial"], kind="stable").reset_index(drop=True)
-        frame["copy"] = frame.groupby(["row", "anchor", "start"]).cumcount()
-        frame = frame.sort_values(["row", "copy", "start"], kind="stable")
-        pieces, where, at, stop, of = [], np.empty(len(frame), np.int64), 0, 0, None
-        for k, (row, copy, start, own) in enumerate(zip(frame["row"], frame["copy"], frame["start"], frame["bytes"])):
+        # equal rows come as equal slices; a content that has one place but several texts comes in twice
+        frame = frame.drop_duplicates(["row", "anchor", "start"])
+        frame = pd.concat([frame.assign(copy=0), frame[frame["twice"]].assign(copy=1)], ignore_index=True)
+        lo, hi = _hopeful(frame, length, gram)
+        frame = frame.assign(lo=lo, hi=hi)[lo <= hi].sort_values(["row", "copy", "start"], kind="stable")
+        if not len(frame):
+            return pd.DataFrame({"anchor": pd.Series(dtype="int64"), "digest": pd.Series(dtype="int64"), "spans": pd.Series(dtype=object)})
+        # a place of a text is in the block once, though its stretches overlap
+        pieces, where, at, stop, of = [], [], 0, 0, None
+        for row, copy, start, a, b, own in zip(frame["row"], frame["copy"], frame["start"] + frame["lo"], frame["lo"], frame["hi"], frame["bytes"]):
+            own = own[a : b + length]
             if of != (row, copy) or start > stop:
                 if of is not None:
                     pieces.append(b"\xff")
                     at += 1
                 of, stop, origin = (row, copy), start, at - start
-            where[k] = origin + start
+            where.append(origin + start)
             if start + len(own) > stop:
                 pieces.append(own[stop - start :])
                 at += start + len(own) - stop
                 stop = start + len(own)
         pieces.append(b"\xff")
         hit = np.concatenate(([0], np.cumsum(repeated_starts(np.frombuffer(b"".join(pieces), np.uint8), length))))
-        out = []
-        done = set()
-        for w, anchor, d1, d2, own in zip(where, frame["anchor"], frame["d1"], frame["d2"], frame["bytes"]):
-            last = len(own) - length + 1
-            if (anchor, d1, d2) in done or hit[w + last] == hit[w]:
-                continue
-            done.add((anchor, d1, d2))
-            starts = np.flatnonzero(np.diff(hit[w : w + last + 1]))
-            for a, b in zip(*_merge(starts, starts + length)):
-                out.append((anchor, d1, d2, a, b))
-        return pd.DataFrame(out, columns=["anchor", "d1", "d2", "a", "b"]).astype("int64")
+        out: dict = {}
+        for w, anchor, digest, a, b in zip(where, frame["anchor"], frame["digest"], frame["lo"], frame["hi"]):
+            if hit[w + b - a + 1] > hit[w]:
+                starts = np.flatnonzero(np.diff(hit[w : w + b - a + 2])) + a
+                out[anchor, digest] = [{"a": int(x), "b": int(y)} for x, y in zip(*_merge(starts, starts + length))]
+        return pd.DataFrame({"anchor": pd.Series([k[0] for k in out], dtype="int64"), "digest": pd.Series([k[1] for k in out], dtype="int64"), "spans": pd.Series(list(out.values()), dtype=object)})
 
     return run
 
@@ -278,43 +315,53 @@ def _windows(length: int):
                 own = batch.column("bytes")[r].as_py()
                 m = len(own) - length + 1
                 digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(own[k : k + length]) for k in range(m)]), np.int64).reshape(m, 2)
-                same = [pa.array(np.full(m, batch.column(c)[r].as_py())) for c in ("anchor", "d1", "d2", "n")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(m)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["anchor", "d1", "d2", "n", "k", "w1", "w2"])
+                same = [pa.array(np.full(m, batch.column(c)[r].as_py())) for c in ("anchor", "digest", "n")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(m), pa.int32()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["anchor", "digest", "n", "k", "w1", "w2"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """``(row, spans array<struct<a, b>>)``: the byte spans, not yet merged, of each text that holds a repeated string.
 
-    ``docs`` needs the column ``row``, a 64-bit key of the row that equal rows share. Null texts count as empty.
+    ``docs`` has the columns ``id``, ``text`` and ``row``, a digest of the text. Null texts count as empty.
     """
     spark = docs.sparkSession
     ship(spark)
-    gram = min(GRAM, length // 3)
-    texts = docs.select("row", F.col(text_col).alias("text"))
-    found = saved(texts.mapInArrow(_stretches(length, gram), "serial long, row long, anchor long, start long, size long, d1 long, d2 long"), "stretches")
+    gram = min(GRAM, max(1, length // 3))
+    # texts that occur several times are handled once, with their number; few such texts are sent to all executors
+    many = saved(docs.where("text is not null").groupBy("row").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("one")).where("weight > 1"), "many")
+    few = many.count() <= BROADCAST_ROWS
+    texts = docs.where("text is not null").join(F.broadcast(many) if few else many, "row", "left").where("one is null or id = one")
+    texts = texts.select("row", "text", F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
+    found = saved(texts.mapInArrow(_stretches(length, gram), _STRETCH_DDL), "stretches")
+    often = found.groupBy("anchor").agg(F.sum("weight").alias("all")).where("all > 1").select("anchor")
+    found = saved(found.join(often, "anchor"), "repeated")
     # contents, and of each the first and last occurrence
-    contents = found.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("serial").alias("lo"), F.max("serial").alias("hi"), F.max("size").alias("size"))
-    contents = saved(contents, "contents")
-    often = contents.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1").select("anchor", "kinds")
-    chosen = contents.join(often, "anchor").select("anchor", "d1", "d2", "n", "lo", "hi", (F.col("kinds") > HOT).alias("hot"))
-    one = F.when(F.col("hot") | (F.col("lo") == F.col("hi")), F.array("lo")).otherwise(F.array("lo", "hi"))
-    chosen = chosen.select("n", "hot", F.explode(one).alias("serial"))
-    chosen = found.join(chosen, "serial").groupBy("row").agg(F.collect_list(F.struct("serial", "anchor", "start", "size", "d1", "d2", "n", "hot")).alias("stretches"))
-    slices = saved(texts.dropDuplicates(["row"]).join(chosen, "row").select("row", "text", "stretches").mapInArrow(_slices, _SLICE_DDL), "slices")
-
-    size, hot = slices.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.length("bytes"))), F.lit(0)), F.coalesce(F.sum(F.col("hot").cast("long")), F.lit(0))).first()
-    blocks = max(1, -(-size // BLOCK))
-    dealt = slices.where("not hot").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
-    spans = dealt.groupBy("block").applyInPandas(lambda frame: _block(length)(frame), _SPAN_DDL)
+    place = F.struct("row", "start", "size", "place")
+    contents = found.groupBy("anchor", "digest").agg(F.sum("weight").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    # anchors whose first occurrences are near one another share a block: neighbouring stretches then overlap there
+    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("lo.row", F.floor(F.col("lo.start") / HOME).alias("near"))).alias("home"))
+    alone = (F.col("lo.row") == F.col("hi.row")) & (F.col("lo.start") == F.col("hi.start"))
+    chosen = contents.join(kinds, "anchor").withColumn("hot", F.col("kinds") > HOT).withColumn("twice", alone & (F.col("n") > 1))
+    chosen = chosen.withColumn("at", F.explode(F.when(F.col("hot") | alone, F.array("lo")).otherwise(F.array("lo", "hi"))))
+    chosen = saved(chosen.select("anchor", "digest", "n", "twice", "hot", F.xxhash64("home").alias("home"), "at.*"), "chosen")
+    total, hot = chosen.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.col("hot").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-total // BLOCK))
+    lists = chosen.groupBy("row").agg(F.collect_list(F.struct(*_CARRIED, "size")).alias("stretches"))
+    slices = texts.select("row", "text").join(lists, "row").mapInArrow(_slices, _SLICE_DDL)
+    if hot:
+        slices = saved(slices, "slices")
+    dealt = slices.where("not hot").withColumn("block", F.pmod("home", F.lit(blocks)))
+    spans = dealt.groupBy("block").applyInPandas(lambda frame: _block(length, gram)(frame), _SPAN_DDL)
     if hot:
-        seen = saved(slices.where("hot").dropDuplicates(["serial"]).mapInArrow(_windows(length), "anchor long, d1 long, d2 long, n long, k long, w1 long, w2 long"), "windows")
+        seen = saved(slices.where("hot").dropDuplicates(["anchor", "digest"]).mapInArrow(_windows(length), "anchor long, digest long, n long, k int, w1 long, w2 long"), "windows")
         twice = seen.groupBy("anchor", "w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("anchor", "w1", "w2")
-        spans = spans.unionByName(seen.join(twice, ["anchor", "w1", "w2"]).select("anchor", "d1", "d2", F.col("k").alias("a"), (F.col("k") + length).alias("b")))
+        span = F.struct(F.col("k").alias("a"), (F.col("k") + length).cast("int").alias("b"))
+        spans = spans.unionByName(seen.join(twice, ["anchor", "w1", "w2"]).groupBy("anchor", "digest").agg(F.collect_list(span).alias("spans")))
     spans = saved(spans, "spans")
-    placed = found.join(spans, ["anchor", "d1", "d2"]).select("row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).distinct()
-    return placed.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
+    return found.join(spans, ["anchor", "digest"]).select("row", moved.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -360,8 +407,8 @@ def _cut(digest: bool):
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    rows = docs.withColumn("row", F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(text_col)))
-    spans = repeated_spans(rows.select("row", F.col(text_col).alias("text")), length=length)
+    rows = docs.withColumn("row", F.unhex(F.md5(F.col(text_col))))
+    spans = repeated_spans(rows.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text")), length=length)
     return rows.join(spans.withColumnRenamed("spans", "_spans"), "row", "left")
 
 
