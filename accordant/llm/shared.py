@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_FOLDER = "/tmp/checkpoints"
 #: A side of a join is broadcast up to this many rows of fixed width; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -51,8 +52,9 @@ def ship(spark: SparkSession) -> None:
     Arrow batches of whole texts are kept small as well: ten thousand long rows a batch, Spark's default, cost hundreds
     of MB on either side of the pipe. A number that the session sets itself stays.
     """
-    if spark.conf.get(_BATCH, "10000") == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    for name, most in ((_BATCH, str(BATCH_ROWS)), (_BATCH_BYTES, BATCH_BYTES)):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
     sc = spark.sparkContext
     if getattr(sc, "_accordant_shipped", False):
         return
