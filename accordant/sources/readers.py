@@ -86,7 +86,7 @@ def as_source(obj: Any, name: str = "table", *, format: str | None = None, read_
 
 def _csv(spark: SparkSession, path: str, options: dict[str, Any], text: list[str]) -> DataFrame:
     sep = options.get("sep", options.get("delimiter", "\t" if path.lower().endswith(".tsv") else ","))
-    reader = spark.read.option("sep", sep).option("header", options.get("header", 0) not in (None, False)).option("escape", options.get("escapechar", '"')).option("quote", options.get("quotechar", '"'))
+    reader = spark.read.option("sep", sep).option("header", options.get("header", 0) is not None and options.get("header", 0) is not False).option("escape", options.get("escapechar", '"')).option("quote", options.get("quotechar", '"'))
     reader = reader.option("multiLine", True).option("encoding", options.get("encoding", "utf-8")).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
     if options.get("comment"):
         reader = reader.option("comment", options["comment"])
@@ -113,7 +113,7 @@ def _csv(spark: SparkSession, path: str, options: dict[str, Any], text: list[str
     for c in typed:
         there = col(c).isNotNull()
         checks += [
-            F.coalesce(F.bool_and(~there | number(c).rlike(r"^[+-]?\d{1,18}$") & ~number(c).rlike(r"^[+-]?0\d")), F.lit(False)).alias(f"{c}\u0001i"),
+            F.coalesce(F.bool_and(~there | number(c).rlike(r"^[+-]?\d{1,18}$")), F.lit(False)).alias(f"{c}\u0001i"),
             F.coalesce(F.bool_and(~there | number(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), F.lit(False)).alias(f"{c}\u0001f"),
             F.coalesce(F.bool_and(~there | F.lower(col(c)).isin("true", "false")), F.lit(False)).alias(f"{c}\u0001b"),
             F.count(col(c)).alias(f"{c}\u0001n"),
