@@ -15,6 +15,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from accordant.llm.textbytes import utf8
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Outside of this, lower-casing and composing may depend on neighbours; such texts are left to the tokenizer.
 _ODD = re.compile("[^\x00-įı-ɏ]")
-_STOP = re.compile(r"(?<=[a-z0-9])([.,])(?= |$)")
+#: Goes between words that are encoded together; a token of its own there.
+_BETWEEN = "|"
 
 
 class Encoder:
@@ -43,7 +45,26 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stops = {c: self._ids(c) for c in ".,"}
+        between = np.frombuffer(self._ids(_BETWEEN), "<u4")
+        # only if the mark is one token, and no token joins over white space, may words be encoded together
+        self.between = int(between[0]) if len(between) == 1 and self._ids(f"a {_BETWEEN} b") == self._ids("a") + between.tobytes() + self._ids("b") else None
+        self.known = {"": b""}
+        # the text form of bytes that byte-level models use: printable ones stand for themselves
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = (256 + k for k in range(256))
+        self.bytes = {b: b if b in plain else next(others) for b in range(256)}
+        self.model = self.tokenizer.model
+        probes = ("a", "the", "straße", "élève", "ñandú", "qwxzklj")
+        self.direct = all(self._word(w) == self._ids(w) for w in probes)  # else words take the long way
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of small letters alone, which is one piece to the model."""
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -57,14 +78,41 @@ class Encoder:
         for t in texts:
             if "<|" not in t and not _ODD.search(t):  # a special token is one in lower case only
                 t = t.lower()
-            t = t.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            parts.append(_STOP.sub(r" \1", t).split(" "))
+            parts.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        new = list(set().union(*parts) - self.known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        known = self.known
+        self._learn({w for w in set().union(*parts) if w not in known})
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        # a stop after a letter or digit is a token of its own
+        stopped = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isascii() and w[-2].isalnum()]
+        new.difference_update(stopped)
+        new.update(w[:-1] for w in stopped if w[:-1] not in known)
+        if self.direct:
+            for w in new:
+                if w.isalpha() and w.islower() and (w.isascii() or not _ODD.search(w)):
+                    known[w] = self._word(w)
+        plain = [w for w in new if w not in known and self.between is not None and _BETWEEN not in w and "<|" not in w and not w.isspace()]
+        for k in range(0, len(plain), 200):
+            some = plain[k : k + 200]
+            ids = np.array(self.tokenizer.encode(f" {_BETWEEN} ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.between)
+            if len(cuts) != len(some) - 1:
+                for w in some:
+                    known[w] = self._ids(w)
+                continue
+            raw = ids.tobytes()
+            begin = (np.concatenate(([0], cuts + 1)) * 4).tolist()
+            end = (np.append(cuts, len(ids)) * 4).tolist()
+            known.update(zip(some, [raw[a:b] for a, b in zip(begin, end)]))
+        for w in new:
+            if w not in known:
+                known[w] = self._ids(w)
+        for w in stopped:
+            known[w] = known[w[:-1]] + self.stops[w[-1]]
 
 
 def default_tokenizer() -> str:
