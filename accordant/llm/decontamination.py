@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm.shared import saved, ship
-from accordant.llm.textbytes import U, chunks, ranges, utf8, word_table, words
+from accordant.llm.textbytes import U, chunks, ranges, tidy, utf8, word_table, words
 
 WINDOW = 13
 #: Free places between two documents of a shard; a window and its slop on both sides must fit in.
@@ -55,6 +55,7 @@ class TestSet:
         self.item_heads, self.item_ids = heads, np.array([x for own in self.items for x in own], np.int64)
 
 
+_FOUND = "id {kind}, n_words long, n_hit long, items array<long>, spans array<struct<a: long, b: long>>"
 _INDEX = "ids array<{kind}>, n_words binary, terms binary, heads binary, places binary"
 
 
@@ -106,7 +107,7 @@ def intersect(test: TestSet, terms: np.ndarray, heads: np.ndarray, places: np.nd
         return none
     own = own[some]
     often = np.diff(heads)
-    df = np.where(own >= 0, often[own], np.iinfo(np.int64).max)
+    df = np.where(own >= 0, often[np.maximum(own, 0)], np.iinfo(np.int64).max)
     order = np.argsort(df, axis=1, kind="stable")
     row = np.arange(len(some))
     big = int(places.max()) + 2 * GAP
@@ -181,7 +182,14 @@ def build_index(docs: DataFrame, vocabulary, *, id_col: str = "doc_id", text_col
 def search(index: DataFrame, test, *, slop: int = 0) -> DataFrame:
     """``(id, n_words, n_hit, items, spans)`` for each document of ``index``; ``test`` is a broadcast ``TestSet``."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    return index.mapInArrow(_found(lambda: test.value, slop), f"id {kind}, n_words long, n_hit long, items array<long>, spans array<struct<a: long, b: long>>")
+    return index.mapInArrow(_found(lambda: test.value, slop), _FOUND.format(kind=kind))
+
+
+def _searched(docs: DataFrame, test, slop: int) -> DataFrame:
+    """``search`` of ``build_index``, shard by shard in one worker where the index is not kept."""
+    kind = docs.schema["id"].dataType.simpleString()
+    index, found = _index(lambda: test.value.terms), _found(lambda: test.value, slop)
+    return docs.mapInArrow(tidy(lambda batches: found(index(batches))), _FOUND.format(kind=kind))
 
 
 def find_overlaps(
@@ -218,8 +226,7 @@ def find_overlaps(
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p) if parts > 1 else items
         test = TestSet([(r["item"], r["text"]) for r in own.collect()], window)  # at most about test_words words
-        index = build_index(docs, spark.sparkContext.broadcast(test.terms), id_col="id")
-        found = search(index, spark.sparkContext.broadcast(test), slop=slop)
+        found = _searched(docs, spark.sparkContext.broadcast(test), slop)
         out = found if out is None else out.unionByName(found)
     if parts == 1:
         return out
