@@ -13,7 +13,9 @@ BUCKETS = (("1", 1, 1), ("2", 2, 2), ("3", 3, 3), ("4-5", 4, 5), ("6-10", 6, 10)
 
 
 def no_null_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.dropna(subset=keys)
+    for k in keys:
+        df = df.where(col(k).isNotNull())
+    return df
 
 
 def key_counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
