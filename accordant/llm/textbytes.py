@@ -100,6 +100,16 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, zero_is_word
     return hashes, np.searchsorted(starts, rows), starts, ends
 
 
+def tidy(run):
+    """``run`` over Arrow batches; at a task's end the memory that it needed goes back, as workers live on."""
+
+    def go(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return go
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ..., for each range in turn."""
     total = int(length.sum())
