@@ -173,46 +173,53 @@ def period(c: Column, frequency: str = "D") -> Column:
     return F.date_trunc({"D": "day", "W": "week", "M": "month"}[frequency], c.cast("timestamp")).cast("date")
 
 
-def _log_likelihood(k, n):
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(n > 0, k / np.maximum(n, 1), 0.0)
-        return np.where(k > 0, k * np.log(np.maximum(p, 1e-300)), 0.0) + np.where(n - k > 0, (n - k) * np.log(np.maximum(1 - p, 1e-300)), 0.0)
-
-
-def _best_arc(k: np.ndarray, n: np.ndarray, least: int) -> tuple[float, int, int]:
-    """The piece whose rate differs most from the rest, as the gain of two binomials over one."""
-    m = len(k)
+def _best_arc(k: np.ndarray, n: np.ndarray, least: int, xlogx) -> tuple[float, int, int]:
+    """The piece whose rate differs most from the rest, as the gain of two binomials over one; ``xlogx`` gives
+    x * log(x) of counts. A row of pieces with the same start at a time, so memory grows with the periods only."""
+    m, f = len(k), xlogx
     ck, cn = np.concatenate(([0], np.cumsum(k))), np.concatenate(([0], np.cumsum(n)))
-    i, j = np.triu_indices(m + 1, least)
-    ok = (m - (j - i) >= least)
-    i, j = i[ok], j[ok]
-    if not len(i):
-        return 0.0, 0, m
-    ik, in_ = ck[j] - ck[i], cn[j] - cn[i]
-    gain = _log_likelihood(ik, in_) + _log_likelihood(ck[-1] - ik, cn[-1] - in_) - _log_likelihood(np.array(ck[-1], float), np.array(cn[-1], float))
-    best = int(np.argmax(gain))
-    return float(gain[best]), int(i[best]), int(j[best])
+    all_k, all_n = ck[-1], cn[-1]
+    whole = f(all_k) + f(all_n - all_k) - f(all_n)
+    best = (0.0, 0, m)
+    for i in range(m - least + 1):
+        j = np.arange(i + least, min(m, m - least + i) + 1)
+        if not len(j):
+            continue
+        x, y = ck[j] - ck[i], cn[j] - cn[i]
+        u, v = all_k - x, all_n - y
+        gain = f(x) + f(y - x) - f(y) + f(u) + f(v - u) - f(v) - whole
+        top = int(np.argmax(gain))
+        if gain[top] > best[0]:
+            best = (float(gain[top]), i, int(j[top]))
+    return best
 
 
 def change_points(problems, records, alpha: float = 0.01, seed: int = 0, least: int = 3, most: int = 6) -> list[dict]:
     """Boundaries where the problem rate changes: circular binary segmentation with a permutation test."""
-    k, n = np.asarray(problems, float), np.asarray(records, float)
+    k, n = np.asarray(problems, np.int64), np.asarray(records, np.int64)
+    if n.sum() <= 1 << 22:
+        counts = np.arange(int(n.sum()) + 1, dtype=float)
+        xlogx = (counts * np.log(np.maximum(counts, 1))).__getitem__
+    else:
+        xlogx = lambda x: x * np.log(np.maximum(x, 1))
     rng, waiting, cuts = np.random.default_rng(seed), deque([(0, len(k))]), []
     while waiting and len(cuts) < most:
         a, b = waiting.popleft()
         sk, sn = k[a:b], n[a:b]
         if b - a < 2 * least or sk.sum() in (0, sn.sum()):
             continue
-        gain, i, j = _best_arc(sk, sn, least)
+        gain, i, j = _best_arc(sk, sn, least, xlogx)
         if gain <= 1e-9:
             continue
         repeats = 199 if b - a > 200 else 499
-        above = 0
+        above, most_above = 0, alpha * (repeats + 1) - 1
         for _ in range(repeats):
             order = rng.permutation(b - a)
-            above += _best_arc(sk[order], sn[order], least)[0] >= gain - 1e-12
+            above += _best_arc(sk[order], sn[order], least, xlogx)[0] >= gain - 1e-9
+            if above >= most_above:  # no longer significant, whatever the rest gives
+                break
         p = (above + 1) / (repeats + 1)
-        if p >= alpha:
+        if above >= most_above:
             continue
         edges = [a, *[a + x for x in (i, j) if 0 < x < b - a], b]
         for x, y, z in zip(edges, edges[1:], edges[2:]):
