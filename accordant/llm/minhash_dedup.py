@@ -7,9 +7,10 @@ Steps, each distributed over rows, buckets or pairs:
 3. Banding: sets with equal minima in a band share a bucket. Each bucket names a hub by pre-aggregation; a set is
    first compared with the hub that it meets most often. Signatures rule out pairs far below the threshold, full sets
    confirm the rest, and components of the confirmed links are taken.
-4. Only buckets that still hold sets of different components are compared further: in slices of at most ``SLICE``
-   members, two slices to a group, in memory, and only pairs across components leave the group. So no bucket is
-   gathered in one task, copies are never expanded into pairs, and no candidate is dropped.
+4. Only buckets that still hold sets of different components are compared further, in slices of about ``SLICE``
+   members, two slices to a group, by signature: links that span the alike pairs across components leave a
+   group, and their components are families. The sets of a family, sliced in the same way, are compared in full. So no bucket
+   is gathered in one task, pairs are never emitted, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from accordant.llm.components import components
 from accordant.llm.shared import BROADCAST_ROWS, saved, ship
-from accordant.llm.textbytes import U, chunks, mix, span_hash, utf8, word_table, words  # noqa: F401
+from accordant.llm.textbytes import U, chunks, mix, tidy, utf8, word_table, words
 
 BANDS, ROWS = 32, 4
-#: Members of a bucket that a group compares with one another, or with as many others.
-SLICE = 256
+#: Members of a bucket that a group compares with one another, or with as many others: by signature, by full set.
+SLICE, SET_SLICE = 1024, 256
 #: A pair goes on to the exact comparison unless its estimate is this many standard errors below the threshold.
 ERRORS = 5.0
+#: The low bits of a bucket's key are its band.
+_BAND_BITS = 6
 #: ``[^\x20\x09-\x0D]+`` with A-Z lower-cased; the byte 0 is a word byte too.
 WORD_BYTES = word_table(lambda b: not (b == 32 or 9 <= b <= 13))
 _K = mix(np.arange(1, 65, dtype=np.uint64) * U(0xD6E8FEB86659FD93)) | U(1)
@@ -106,7 +109,7 @@ def _band_keys(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
         x = np.full(len(signs), b + 1, U)
         for r in range(b * rows, b * rows + rows):
             x = mix(x * U(0x9FB21C651E98DF25) + signs[:, r].astype(U))
-        keys[:, b] = x
+        keys[:, b] = (x << U(_BAND_BITS)) | U(b)
     return keys.view(np.int64)
 
 
@@ -154,32 +157,96 @@ def _grouped(batches, columns):
         yield held
 
 
-def _across(least: float, bands: int, rows: int):
-    """Pairs of a group that are in different components, alike, and in no earlier bucket together."""
+class _Forest:
+    """Union-find over a few values."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[x] = y
+        return x != y
+
+
+def _alike_pairs(group, least: float):
+    """For each row of slice s of a group: it and the rows of slice t, of other components, whose signatures are near."""
+    ids, comp, part = (group.column(c).to_numpy() for c in ("id", "component", "part"))
+    s, t = group.column("s")[0].as_py(), group.column("t")[0].as_py()
+    signs = _signs(group.column("sign").combine_chunks())
+    left, right = np.flatnonzero(part == s), np.flatnonzero(part == t)
+    for i in left.tolist():
+        j = right[comp[right] != comp[i]]
+        if s == t:
+            j = j[ids[j] > ids[i]]
+        if len(j):
+            j = j[np.count_nonzero(signs[j] == signs[i], axis=1) >= least * signs.shape[1]]
+            if len(j):
+                yield i, j
+
+
+def _families(least: float):
+    """Links to the smallest row of those of a group that are alike across components: candidates, fewer than rows."""
 
     def run(batches):
         us, vs = [], []
         for group in _grouped(batches, ["key", "s", "t"]):
-            ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
-            if len(ids) < 2 or (comp == comp[0]).all():
+            comp = group.column("component").to_numpy()
+            if len(comp) < 2 or (comp == comp[0]).all():
                 continue
-            part, key = group.column("part").to_numpy(), group.column("key")[0].as_py()
-            s, t = group.column("s")[0].as_py(), group.column("t")[0].as_py()
-            signs = _signs(group.column("sign").combine_chunks())
-            keys = _band_keys(signs, bands, rows)
-            band = int(np.flatnonzero(keys[0] == key)[0])
-            order = np.arange(len(ids))
-            for i in order[part == s].tolist():
-                j = order[(part == t) & (comp != comp[i]) & ((ids > ids[i]) if s == t else True)]
-                j = j[(signs[j] == signs[i]).mean(axis=1) >= least]
-                j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
-                us.append(np.full(len(j), ids[i]))
-                vs.append(ids[j])
-            if sum(map(len, us)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            ids, forest = group.column("id").to_numpy().tolist(), _Forest()
+            for i, near in _alike_pairs(group, least):
+                for j in near.tolist():
+                    forest.join(i, j)
+            # the smallest id stands for its tree: many buckets of a family then give the same links
+            smallest: dict = {}
+            for i in forest.up:
+                r = forest.root(i)
+                smallest[r] = min(smallest.get(r, ids[r]), ids[i])
+            for i in {*forest.up, *smallest}:
+                v = smallest[forest.root(i)]
+                if v != ids[i]:
+                    us.append(ids[i])
+                    vs.append(v)
+            if len(us) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
                 us, vs = [], []
         if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, over: int, under: int) -> bool:
+    """under * intersection >= over * union, for sorted distinct values."""
+    both = np.sort(np.concatenate((x, y)))
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and under * common >= over * (len(both) - common)
+
+
+def _family_links(least: float, over: int, under: int):
+    """Of each group the links that join its components, confirmed on full sets; pairs already joined aren't compared."""
+
+    def run(batches):
+        for group in _grouped(batches, ["key", "s", "t"]):
+            ids, comp, forest = group.column("id").to_numpy().tolist(), group.column("component").to_numpy().tolist(), _Forest()
+            sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("members")]
+            us, vs = [], []
+            for i, near in _alike_pairs(group, least):
+                for j in near.tolist():
+                    if forest.root(comp[i]) != forest.root(comp[j]) and _linked(sets[i], sets[j], over, under):
+                        forest.join(comp[i], comp[j])
+                        us.append(ids[i])
+                        vs.append(ids[j])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
@@ -195,31 +262,62 @@ def _sets_of(width: int):
     return run
 
 
-def _confirm(over: int, under: int):
-    """Pairs of full sets with under * intersection >= over * union."""
+def _judge(over: int, under: int):
+    """Of each group (sets first, then pairs) the pairs with under * intersection >= over * union."""
 
     def run(batches):
-        for batch in batches:
+        for group in _grouped(batches, ["key", "s", "t"]):
+            kind = group.column("kind").to_numpy()
+            u, v = group.column("u").to_numpy(), group.column("v").to_numpy()
+            own: dict[int, list] = {}
+            for k in np.flatnonzero(kind == 0).tolist():
+                own.setdefault(int(u[k]), []).append(np.frombuffer(group.column("members")[k].as_buffer(), U))
             keep = []
-            for a, b in zip(batch.column("set_u"), batch.column("set_v")):
-                x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
-                both = np.sort(np.concatenate((x, y)))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common > 0 and under * common >= over * (len(both) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for k in np.flatnonzero(kind == 1).tolist():
+                for x, y in ((x, y) for x in own[int(u[k])] for y in own[int(v[k])]):
+                    if _linked(x, y, over, under):
+                        keep.append(k)
+                        break
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
     return run
 
 
+def _sets(texts: DataFrame, ids: DataFrame, width: int, name: str) -> DataFrame:
+    """The full sets of the texts with these ids; few ids are sent to the texts, more are shuffled."""
+    few = ids.count() <= BROADCAST_ROWS
+    return saved(texts.join(F.broadcast(ids) if few else ids, "id").mapInArrow(_sets_of(width), "id long, members binary").distinct(), f"{name}-sets")
+
+
+def _sliced(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (key, n, id, ...) once for each two slices of their key's ``n`` rows that they are compared in."""
+    parts = F.ceil(F.col("n") / size).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("s", F.least("part", "other")).withColumn("t", F.greatest("part", "other")).drop("n", "other")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, over: int, under: int, name: str) -> DataFrame:
-    """The links among ``pairs(u, v)``, judged on the full sets, which are made again for the texts concerned only."""
+    """The links among ``pairs(u, v)``, judged on the full sets, which are made again for the texts concerned only.
+
+    Pairs that share a neighbourhood are judged together, so a set travels once for all of its pairs there; a
+    neighbourhood of more than ``SET_SLICE`` sets is judged slice against slice.
+    """
     pairs = saved(pairs, f"{name}-pairs")
-    ids = saved(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-ids")
-    few = ids.count() <= BROADCAST_ROWS
-    sets = saved(texts.join(F.broadcast(ids) if few else ids, "id").mapInArrow(_sets_of(width), "id long, members binary").distinct(), f"{name}-sets")
-    one = sets.select(F.col("id").alias("u"), F.col("members").alias("set_u"))
-    two = sets.select(F.col("id").alias("v"), F.col("members").alias("set_v"))
-    return saved(pairs.join(one, "u").join(two, "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(over, under), "u long, v long"), f"{name}-links")
+    both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("id"), "label"), f"{name}-ids")
+    one, two = near.select(F.col("id").alias("u"), F.col("label").alias("a")), near.select(F.col("id").alias("v"), F.col("label").alias("b"))
+    keyed = saved(pairs.join(one, "u").join(two, "v").select("u", "v", F.least("a", "b").alias("key")), f"{name}-keyed")
+    size = keyed.select("key", F.explode(F.array("u", "v")).alias("id")).distinct().groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SET_SLICE).cast("int").alias("slices"))
+    a, b = (F.pmod(F.xxhash64(c), F.col("slices")).cast("int") for c in ("u", "v"))
+    dealt = keyed.join(size, "key").select("key", F.least(a, b).alias("s"), F.greatest(a, b).alias("t"), "u", "v")
+    asked = dealt.select("key", "s", "t", F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = _sets(texts, near.select("id"), width, name)
+    none, empty = F.lit(0).cast("long"), F.lit(None).cast("binary")
+    rows = asked.join(sets, "id").select("key", "s", "t", F.lit(0).alias("kind"), F.col("id").alias("u"), none.alias("v"), "members")
+    rows = rows.unionByName(dealt.select("key", "s", "t", F.lit(1).alias("kind"), "u", "v", empty.alias("members")))
+    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "kind")
+    return saved(rows.mapInArrow(_judge(over, under), "u long, v long"), f"{name}-links")
 
 
 def near_duplicates(
@@ -243,11 +341,13 @@ def near_duplicates(
     with the same id are one node. A null id gives a null ``component_id`` and is kept. No rows give no rows. Other
     columns of ``docs`` are ignored.
     """
+    if bands > 1 << _BAND_BITS:
+        raise ValueError(f"bands may be {1 << _BAND_BITS} at most")
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # of the standard error of an estimate from bands * rows minima at the threshold
     least = over / under - ERRORS * float(np.sqrt((over / under) * (1 - over / under) / (bands * rows)))
-    prints = saved(texts.mapInArrow(_fingerprints(width, bands * rows), "id long, n_shingles long, same binary, sign binary"), "prints")
+    prints = saved(texts.mapInArrow(tidy(_fingerprints(width, bands * rows)), "id long, n_shingles long, same binary, sign binary"), "prints")
     nodes = prints.where("same is not null and id is not null")
     classes = saved(nodes.groupBy("same").agg(F.min("id").alias("node")), "classes")
     signs = saved(nodes.join(classes, "same").where("id = node").select("id", "sign").distinct(), "signs")
@@ -267,18 +367,19 @@ def near_duplicates(
     known = buckets.join(hubs.select("key", "n"), "key").join(reached, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
     known = saved(known, "known")
     mixed = known.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    parts = F.ceil(F.col("n") / SLICE).cast("int")
-    open_ = known.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).join(signs, "id")
-    open_ = open_.select("key", F.least("part", "other").alias("s"), F.greatest("part", "other").alias("t"), "id", "component", "part", "sign")
+    open_ = _sliced(known.join(mixed, "key"), SLICE).join(signs, "id")
     open_ = open_.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
-    late = open_.mapInArrow(_across(least, bands, rows), "u long, v long").distinct()
-    links = links.unionByName(_confirmed(late, texts, width, over, under, "late"))
+    family = components(open_.mapInArrow(tidy(_families(least)), "u long, v long"))
+    family = saved(family.withColumnRenamed("component", "key"), "families")
+    sizes = family.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows_ = family.join(sizes, "key").join(reached, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
+    sets = _sets(texts, family.select("id"), width, "late")
+    rows_ = _sliced(rows_, SET_SLICE).join(signs, "id").join(sets, "id").repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
+    links = links.unionByName(saved(rows_.mapInArrow(tidy(_family_links(least, over, under)), "u long, v long"), "late-links"))
 
     final = components(links).select(F.col("id").alias("node"), "component")
     found = classes.join(final, "node", "left").select("same", F.coalesce("component", "node").alias("class_id"))
     out = prints.join(found, "same", "left")
-    # a row of an id that other rows reach through another text takes the smallest class of its id's texts
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("class_id", "id"))
     return out.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
