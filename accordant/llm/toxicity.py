@@ -23,7 +23,7 @@ POSITIVES, UNLABELLED = 1500, 3000
 #: Bytes of the word beginnings.
 BEGINNINGS = (3, 4, 5, 6)
 #: Features that the classifier knows, at most, and the documents of the sample that a feature must be in.
-FEATURES, SEEN = 1024, 8
+FEATURES, SEEN = 512, 8
 LETTER_BYTES = word_table(lambda b: 97 <= b <= 122 or b >= 128)
 
 
@@ -78,7 +78,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def train(sets: list[np.ndarray], positive: np.ndarray, prior: float, *, features: int = FEATURES, seen: int = SEEN, steps: int = 300, rate: float = 0.05, decay: float = 5e-3) -> Classifier:
+def train(sets: list[np.ndarray], positive: np.ndarray, prior: float, *, features: int = FEATURES, seen: int = SEEN, steps: int = 300, rate: float = 0.05, decay: float = 2e-2) -> Classifier:
     """The classifier with the least non-negative risk, by Adam on the logistic loss over the whole sample."""
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets) if sets else np.zeros(0, U)
