@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.llm.shared import saved, ship
-from accordant.llm.textbytes import utf8
+from accordant.llm.textbytes import tidy, utf8
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Outside of this, lower-casing and composing may depend on neighbours; such texts are left to the tokenizer.
 _ODD = re.compile("[^\x00-įı-ɏ]")
 #: Goes between words that are encoded together; a token of its own there.
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     path = tokenizer or default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pieces = saved(texts.mapInArrow(_pieces(path, capacity, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long, nth long, part int"), "pieces")
+    pieces = saved(texts.mapInArrow(tidy(_pieces(path, capacity, end_id)), f"id {kind}, piece int, start long, length long, ids_crc32 long, nth long, part int"), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = saved(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.llm.shared import ship
-from accordant.llm.textbytes import chunks, ranges, utf8, word_table, words
+from accordant.llm.textbytes import chunks, ranges, tidy, utf8, word_table, words
 
 #: The sample that a language is learned from: at most so many documents, and so many bytes of distinct words.
 SAMPLE_DOCS, SAMPLE_BYTES = 256, 24_000
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, samples: dict[str, list[bytes]], *, text_col: str
     base = docs.drop(*names)
     key = xxhash.xxh3_64_hexdigest(repr(sorted(samples.items())).encode())
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), f"{names[0]} string, {names[1]} double, {names[2]} double"])
-    return base.mapInArrow(_predict(samples, key, text_col, names), schema)
+    return base.mapInArrow(tidy(_predict(samples, key, text_col, names)), schema)
 
 
 def held_out(id_col: str, parts: int, which: int):

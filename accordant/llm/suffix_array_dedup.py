@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm.shared import BROADCAST_ROWS, saved, ship
-from accordant.llm.textbytes import U, chunks, prefix_hash, ranges, span_hash, utf8
+from accordant.llm.textbytes import U, chunks, prefix_hash, ranges, span_hash, tidy, utf8
 
 LENGTH = 400
 GRAM = 128
@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     few = many.count() <= BROADCAST_ROWS
     texts = docs.where("text is not null").join(F.broadcast(many) if few else many, "row", "left").where("one is null or id = one")
     texts = texts.select("row", "text", F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
-    found = saved(texts.mapInArrow(_stretches(length, gram), _STRETCH_DDL), "stretches")
+    found = saved(texts.mapInArrow(tidy(_stretches(length, gram)), _STRETCH_DDL), "stretches")
     often = found.groupBy("anchor").agg(F.sum("weight").alias("all")).where("all > 1").select("anchor")
     found = saved(found.join(often, "anchor"), "repeated")
     # contents, and of each the first and last occurrence
@@ -349,7 +349,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     total, hot = chosen.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.col("hot").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-total // BLOCK))
     lists = chosen.groupBy("row").agg(F.collect_list(F.struct(*_CARRIED, "size")).alias("stretches"))
-    slices = texts.select("row", "text").join(lists, "row").mapInArrow(_slices, _SLICE_DDL)
+    slices = texts.select("row", "text").join(lists, "row").mapInArrow(tidy(_slices), _SLICE_DDL)
     if hot:
         slices = saved(slices, "slices")
     dealt = slices.where("not hot").withColumn("block", F.pmod("home", F.lit(blocks)))
