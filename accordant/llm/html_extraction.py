@@ -2,7 +2,8 @@
 
 1. A page's html is cut into blocks. A block is main text (inside the page's article or main element), boilerplate
    (inside an element that says so: navigation, header, footer, sidebar, notice, advert, form, comments) or open.
-2. Token streams of the blocks outside articles are concatenated by host. The suffix array of a host is dealt by the
+2. A page's blocks outside articles are one token stream, so a run of short blocks (menus, footers) counts as a whole;
+   the streams are concatenated by host. The suffix array of a host is dealt by the
    first ``RUN`` tokens of its suffixes; neighbours that share them and lie on distinct pages are a long repeated
    substring. Of a prefix only the least and the largest page are needed, so common lines are pre-aggregated and no
    host is gathered.
@@ -163,28 +164,36 @@ def _hashes(tokens: list[str]) -> np.ndarray:
     return span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), ends - size, ends)
 
 
+def _stream(page: str | None) -> tuple[list[str], np.ndarray]:
+    """A page's tokens outside articles, over the borders of blocks, and whether each is open."""
+    tokens, is_open = [], []
+    for state, text in blocks(page):
+        if state != MAIN:
+            own = text.split(" ")
+            tokens += own
+            is_open += [state == OPEN] * len(own)
+    return tokens, np.array(is_open, bool)
+
+
 def _streams(run: int):
-    """Suffixes of the streams outside articles, by the hash of their first ``run`` tokens; blocks don't join."""
+    """Windows of ``run`` tokens of each page's stream, by hash; a place of -1: no token of the window is open."""
 
     def go(batches):
         for batch in batches:
-            hosts, keys, rows, places = [], [], [], []
+            hosts, keys, places = [], [], []
             for r in range(batch.num_rows):
-                base = 0
-                for state, text in blocks(batch.column("html")[r].as_py()):
-                    if state == MAIN:
-                        continue
-                    tokens = text.split(" ")
-                    if len(tokens) >= run:
-                        h = _hashes(tokens)
-                        n = len(h) - run + 1
-                        rolled = np.zeros(n, U)
-                        for k in range(run):
-                            rolled = mix(rolled * U(0x9E3779B97F4A7C15) + h[k : n + k])
-                        keys.append(rolled.view(np.int64))
-                        hosts.append(np.full(n, r))
-                        places.append(np.arange(base, base + n) if state == OPEN else np.full(n, -1))
-                    base += len(tokens) * (state == OPEN)
+                tokens, is_open = _stream(batch.column("html")[r].as_py())
+                if len(tokens) < run:
+                    continue
+                h = _hashes(tokens)
+                n = len(h) - run + 1
+                rolled = np.zeros(n, U)
+                for k in range(run):
+                    rolled = mix(rolled * U(0x9E3779B97F4A7C15) + h[k : n + k])
+                keys.append(rolled.view(np.int64))
+                hosts.append(np.full(n, r))
+                opened = np.concatenate(([0], np.cumsum(is_open)))
+                places.append(np.where(opened[run:] > opened[:-run], np.arange(n), -1))
             if keys:
                 hosts = pa.array(np.concatenate(hosts))
                 yield pa.RecordBatch.from_arrays([batch.column("host").take(hosts), batch.column("page").take(hosts), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["host", "page", "prefix", "place"])
@@ -197,21 +206,22 @@ def _texts(run: int):
         for batch in batches:
             texts = []
             for r in range(batch.num_rows):
-                covered = batch.column("places")[r].as_py()
-                covered = np.array(covered or [], np.int64)
+                covered = np.array(batch.column("places")[r].as_py() or [], np.int64)
+                found = blocks(batch.column("html")[r].as_py())
+                gone = np.zeros(sum(len(text.split(" ")) for state, text in found if state != MAIN), bool)
+                for p in covered:
+                    gone[p : p + run] = True
                 lines, base = [], 0
-                for state, text in blocks(batch.column("html")[r].as_py()):
+                for state, text in found:
                     if state == MAIN:
                         lines.append(text)
-                    elif state == OPEN:
-                        tokens = text.split(" ")
-                        keep = np.ones(len(tokens) + run, bool)
-                        for p in covered[(covered >= base) & (covered < base + len(tokens))] - base:
-                            keep[p : p + run] = False
-                        left = [t for t, k in zip(tokens, keep) if k]
+                        continue
+                    tokens = text.split(" ")
+                    if state == OPEN:
+                        left = [t for t, g in zip(tokens, gone[base : base + len(tokens)]) if not g]
                         if left:
                             lines.append(" ".join(left))
-                        base += len(tokens)
+                    base += len(tokens)
                 texts.append("\n".join(lines))
             same = [c for c in batch.schema.names if c not in ("html", "places")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*same, "text", "n_chars"])

@@ -312,6 +312,33 @@ def test_pages(spark):
     assert all(line in r["text"] for r in html_.extract(same).collect()) and html_.extract(df.limit(0)).count() == 0
 
 
+def test_short_blocks(spark):
+    """Menus and footers of short unmarked blocks go where pages have no article, as by brute force over page streams."""
+    menu = "<div>Home</div><div>Latest news</div><div>About us</div><table><tr><td>Contact<td>Press room<td>Jobs</table>"
+    foot = "<p>All rights reserved</p><div>Terms of use</div><div>Privacy</div><div>Site map</div>"
+    bodies = [f"{words(12, 300 + k)}</p><p>own {k}" for k in range(5)]
+    rows = [(k, f"http://h.example/{k}", f"<body>{menu}<p>{b}</p>{foot}</body>") for k, b in enumerate(bodies)]
+    rows += [(10, "http://other.example/", f"<body>{menu}<p>alone</p>{foot}</body>"), (11, "http://h.example/m", f"<body>{menu}<main><p>{words(9, 400)}</p></main></body>")]
+    rows += [(12, "http://h.example/few", "<div>Home</div><div>Latest news</div>"), (13, "http://n.example/1", "<nav>a b c d</nav><p>e f g h 1</p>"), (14, "http://n.example/2", "<nav>a b c d</nav><p>e f g h 2</p>")]
+    got = {r["page_id"]: r["text"] for r in html_.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    streams = {k: ([t for s, x in html_.blocks(h) if s != html_.MAIN for t in x.split(" ")], url.split("/")[2]) for k, url, h in rows}
+    for k, _, h in rows:
+        mine, host = streams[k]
+        others = {tuple(t[j : j + 8]) for o, (t, at) in streams.items() if o != k and at == host for j in range(len(t) - 7)}
+        gone = {i for j in range(len(mine) - 7) if tuple(mine[j : j + 8]) in others for i in range(j, j + 8)}
+        lines, base = [], 0
+        for s, x in html_.blocks(h):
+            if s == html_.MAIN:
+                lines.append(x)
+                continue
+            own = x.split(" ")
+            lines += [" ".join(left)] if s == html_.OPEN and (left := [t for i, t in enumerate(own, base) if i not in gone]) else []
+            base += len(own)
+        assert got[k] == "\n".join(lines)
+    assert [got[k] for k in range(5)] == [b.replace("</p><p>", "\n") for b in bodies]
+    assert got[10].startswith("Home\n") and got[11] == words(9, 400) and got[12] == "Home\nLatest news" and got[13] == "1" and got[14] == "2"
+
+
 def test_revisits(spark):
     head = "capture_id long, url string, ts long, kind string, etag string, last_modified string, digest string, size long, headers array<struct<name: string, value: string>>"
     full, r304 = [("Content-Type", "text/html"), ("ETag", "1")], [("Cache-Control", "no"), ("Content-Length", "0")]
