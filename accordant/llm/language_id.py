@@ -164,8 +164,22 @@ def _predict(samples: dict[str, list[bytes]], key: str, text_col: str, added: tu
     return run
 
 
+def _counted(batches):
+    """Words of labelled texts, cut to ``PIECE`` bytes, and how often each occurs in a language."""
+    for batch in batches:
+        counts: dict[tuple[str, bytes], int] = {}
+        for r in range(batch.num_rows):
+            lang = batch.column("lang")[r].as_py()
+            for w in _WORD.finditer(batch.column("text")[r].as_py().encode()):
+                key = lang, w[0][:PIECE]
+                counts[key] = counts.get(key, 0) + 1
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+
+
 def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """Sample words of each language from ``labelled``: at most ``docs`` documents, picked by hash, and ``size`` bytes of distinct words."""
+    """Sample words of each language from ``labelled``: at most ``docs`` documents, picked by hash and read whole, and ``size`` bytes of distinct words."""
+    ship(labelled.sparkSession)
     # of each language, the documents with the smallest hashes in each of 32 parts: no part is sorted in full, no text is moved
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
     near = Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h")
@@ -174,20 +188,19 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     if not hashes:
         return {}
     chosen = labelled.where(F.xxhash64(text_col).isin(sorted({h for _, h in hashes}))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).distinct()
-    counts: dict[str, dict[bytes, int]] = {}
-    for r in chosen.select("lang", F.lower("text").alias("text"), F.xxhash64("text").alias("h")).collect():
-        if r.lang is not None and r.text is not None:
-            own = counts.setdefault(r.lang, {})
-            for w in _WORD.findall(r.text.encode())[:20_000]:
-                own[w[:PIECE]] = own.get(w[:PIECE], 0) + 1
-    out = {}
-    for lang, own in counts.items():
-        left, out[lang] = size, []
-        for w in sorted(own, key=lambda w: (-own[w], w)):
-            left -= len(w) + 2
-            if left < 0:
-                break
-            out[lang].append(w)
+    counts = chosen.select("lang", F.lower("text").alias("text")).mapInArrow(tidy(_counted), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    often = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    # each word costs three bytes of the sample and more, so no more of them can be in it
+    best = counts.withColumn("k", F.row_number().over(often)).where(F.col("k") <= max(1, size // 3)).select("lang", "word", "k")
+    out: dict[str, list[bytes]] = {}
+    left: dict[str, int] = {}
+    for r in sorted(best.collect(), key=lambda r: (r.lang, r.k)):
+        w = bytes(r.word)
+        left[r.lang] = left.get(r.lang, size) - len(w) - 2
+        if left[r.lang] >= 0:
+            out.setdefault(r.lang, []).append(w)
+        else:
+            left[r.lang] = -1  # the first word that doesn't fit ends the sample
     return {k: v for k, v in out.items() if v}
 
 

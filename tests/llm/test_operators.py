@@ -273,6 +273,14 @@ def test_language(spark, docs, awkward, empty):
     assert {r["lang_pred"] for r in lang.identify(tests, {}).collect()} == {"und"} and lang.learn(empty) == {}
 
 
+def test_language_counts_whole_documents(spark):
+    """Words beyond the first 20,000 of a document are counted: the sample holds the most frequent ones of all."""
+    late = "seldom " + "early " * 20_000 + "later " * 30_000
+    train = spark.createDataFrame([(1, late, "aa"), (2, "Élan, élan und und mehr " + "x" * 40, "bb"), (3, None, "aa"), (4, "text", None)], "doc_id long, text string, lang string")
+    assert lang.learn(train) == {"aa": [b"later", b"early", b"seldom"], "bb": [b"und", "élan".encode(), b"mehr", b"x" * 32]}
+    assert lang.learn(train, size=8) == {"aa": [b"later"], "bb": [b"und"]}
+
+
 def test_automaton():
     r = random.Random(0)
     for _ in range(30):
