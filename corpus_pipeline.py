@@ -31,14 +31,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id: five words, 0.8 and more."""
-    found = saved(near_duplicates(docs), "near")
-    left = _without(docs, docs["doc_id"], found.where(~F.col("kept")).select(F.col("id").alias("key")))
-    again = saved(found.where("kept and id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("again")), "again")
+    """One document of each group of near copies stays, the one with the smallest id: five words, 0.8 and more.
+
+    A document is its id and text: texts that differ under one id are judged one by one, rows equal in both are one.
+    Rows without an id stay.
+    """
+    docs_ = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), "text")))
+    found = saved(near_duplicates(docs_, id_col="__key").where("id is not null"), "near")
+    many = found.where(~F.col("kept")).select("component_id").distinct()
+    members = found.join(many, "component_id", "left_semi").select("component_id", "id").distinct()
+    members = saved(members.join(docs_.select(F.col("__key").alias("id"), "doc_id").distinct(), "id"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    left = _without(docs_, docs_["__key"], members.join(first, "component_id").where("id <> first.id").select(F.col("id").alias("key")))
+    again = saved(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("again")), "again")
     if not again.count():
-        return left
-    once = left.join(again, left["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, left["doc_id"] == again["again"], "left_anti").unionByName(once)
+        return left.select(*docs.columns)
+    once = left.join(again, left["__key"] == again["again"], "left_semi").dropDuplicates(["__key"])
+    return left.join(again, left["__key"] == again["again"], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

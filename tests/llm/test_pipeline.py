@@ -49,6 +49,20 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), DATA).columns == names
 
 
+def test_near_copies_of_one_id(spark):
+    """Texts that differ under one id are judged one by one; of equal and near rows the smallest id stays."""
+    import corpus_pipeline as p
+
+    text = [" ".join(f"{c}{k}" for k in range(120)) for c in "abcd"]
+    near = text[0].replace("a60 ", "x ")
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, near), (2, text[2]), (3, text[1]), (4, text[3]), (4, text[3] + " end"), (5, None), (5, None), (None, text[0]), (None, text[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.near_copies(spark, docs, DATA).collect()), key=repr)
+    last = [t for d, t in got if d == 4]
+    assert len(last) == 1 and last[0] in (text[3], text[3] + " end")
+    assert got == sorted([(1, text[0]), (1, text[1]), (2, text[2]), (4, last[0]), (5, None), (None, text[0]), (None, text[0])], key=repr)
+
+
 def test_entry_without_llm(tmp_path):
     """The other queries are there when this subpackage and the pipeline are gone."""
     shutil.copytree(ROOT / "accordant", tmp_path / "accordant", ignore=shutil.ignore_patterns("llm", "__pycache__"))
