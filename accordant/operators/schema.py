@@ -20,7 +20,7 @@ SHORT = {
     "trx": "transaction", "trans": "transaction", "upd": "updated", "val": "value",
 }
 WEIGHTS = {"name": 0.55, "type": 0.2, "uniqueness": 0.1, "value_overlap": 0.25}
-LEAST_SCORE, SAMPLE_ROWS = 0.55, 5000
+LEAST_SCORE = 0.55
 
 
 def inspect(df: DataFrame, name: str = "table") -> dict:
@@ -51,23 +51,41 @@ def name_similarity(a: str, b: str) -> float:
     return max(difflib.SequenceMatcher(None, " ".join(x), " ".join(y)).ratio(), len(set(x) & set(y)) / len(union) if union else 0.0)
 
 
-def suggest_matches(left: DataFrame, right: DataFrame, left_only: list[str], right_only: list[str], rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Pairs of columns that are on one side each and look alike: by name, type, uniqueness and values of a sample."""
+def _values(left: DataFrame, right: DataFrame, left_only: list[str], right_only: list[str]) -> tuple[dict, dict]:
+    """Distinct values, as text, of each column, and how many of them each pair of columns shares."""
+    tagged = lambda df, names: df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("v")) for i, c in enumerate(names)])).alias("x")).select("x.i", "x.v").where("v is not null").distinct()
+    both = tagged(left, left_only).withColumn("side", F.lit("l")).unionByName(tagged(right, right_only).withColumn("side", F.lit("r")))
+    held = both.groupBy("v").agg(F.collect_list(F.when(F.col("side") == "l", F.col("i"))).alias("l"), F.collect_list(F.when(F.col("side") == "r", F.col("i"))).alias("r"))
+    # a row for each column with the value (the other side is -1) and for each pair that shares it
+    pairs = held.select(F.explode(F.concat(F.array(F.lit(-1)), "l")).alias("l"), "r").select("l", F.explode(F.concat(F.array(F.lit(-1)), "r")).alias("r")).where("l >= 0 or r >= 0")
+    n = {(x["l"], x["r"]): x["n"] for x in pairs.groupBy("l", "r").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {("l", c): n.get((i, -1), 0) for i, c in enumerate(left_only)} | {("r", c): n.get((-1, i), 0) for i, c in enumerate(right_only)}
+    return sizes, {(a, b): n.get((i, j), 0) for i, a in enumerate(left_only) for j, b in enumerate(right_only)}
+
+
+def suggest_matches(left: DataFrame, right: DataFrame, left_only: list[str], right_only: list[str], rows: int | None = None) -> list[dict]:
+    """Pairs of columns that are on one side each and look alike: by name, type, uniqueness and values.
+
+    Whole columns are compared, or the first ``rows`` rows of each side if that is given.
+    """
     if not left_only or not right_only:
         return []
+    if rows is not None:
+        left, right = left.limit(rows), right.limit(rows)
     facts = {}
     for side, df, names in (("l", left, left_only), ("r", right, right_only)):
-        part = df.limit(rows)
-        row = part.agg(*[F.struct(F.count(col(c)).alias("n"), F.count_distinct(col(c)).alias("d"), F.collect_set(col(c).cast("string")).alias("v")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        row = df.agg(*[F.struct(F.count(col(c)).alias("n"), F.count_distinct(col(c)).alias("d")).alias(f"c{i}") for i, c in enumerate(names)]).first()
         for i, c in enumerate(names):
-            facts[side, c] = (logical_type(df.schema[c].dataType), row[f"c{i}"]["d"] / row[f"c{i}"]["n"] if row[f"c{i}"]["n"] else 0.0, set(row[f"c{i}"]["v"]))
+            facts[side, c] = (logical_type(df.schema[c].dataType), row[f"c{i}"]["d"] / row[f"c{i}"]["n"] if row[f"c{i}"]["n"] else 0.0)
+    sizes, shared = _values(left, right, left_only, right_only)
     scored = []
     for a in left_only:
         for b in right_only:
-            (ka, ua, va), (kb, ub, vb) = facts["l", a], facts["r", b]
+            (ka, ua), (kb, ub) = facts["l", a], facts["r", b]
+            least = min(sizes["l", a], sizes["r", b])
             parts = {"name": name_similarity(a, b), "type": float(compatible(ka, kb)), "uniqueness": 1 - abs(ua - ub)}
-            if va and vb:
-                parts["value_overlap"] = len(va & vb) / min(len(va), len(vb))
+            if least:
+                parts["value_overlap"] = shared[a, b] / least
             score = sum(WEIGHTS[k] * v for k, v in parts.items()) / sum(WEIGHTS[k] for k in parts)
             score = score if parts["type"] else score * 0.6
             if score >= LEAST_SCORE:

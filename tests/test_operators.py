@@ -54,6 +54,15 @@ def test_grain(spark):
     assert P.find_dimensions(df, df, ["txn_id"]) == ["date", "store", "product"] and P.find_date_column(df) is None
 
 
+def test_suggestions_of_whole_columns(spark):
+    """Sides of opposite order share no value in their first 5000 rows; counts are those of the whole columns."""
+    up = spark.range(12_000).selectExpr("id AS cust_key", "id % 6000 AS grp").coalesce(1)
+    down = spark.range(12_000).selectExpr("11999 - id AS buyer_ref", "(11999 - id) % 6000 AS bucket").coalesce(1)
+    got = {(s["left"], s["right"]): s for s in S.suggest_matches(up, down, ["cust_key", "grp"], ["buyer_ref", "bucket"])}
+    assert got["cust_key", "buyer_ref"]["value_overlap"] == 1.0 and got["cust_key", "buyer_ref"]["uniqueness"] == 1.0
+    assert S._values(up, down, ["cust_key", "grp"], ["bucket"]) == ({("l", "cust_key"): 12_000, ("l", "grp"): 6000, ("r", "bucket"): 6000}, {("cust_key", "bucket"): 6000, ("grp", "bucket"): 6000})
+
+
 def test_schema(spark):
     a, b = frame(spark, id=[1], legacy_status=["x"], revenue=[1.0], region=["E"]), frame(spark, id=[1], region=["E"], revenue=[1.0], discount=[0.0], discount_reason=["y"])
     x = S.compare_schemas(a, b)
