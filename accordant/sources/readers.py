@@ -94,8 +94,10 @@ def _csv(spark: SparkSession, path: str, options: dict[str, Any], text: list[str
     nulls = [options["na_values"]] if isinstance(options.get("na_values"), str) else list(options.get("na_values", ()))
     if options.get("skiprows") or options.get("nrows") is not None:
         numbered = plain.withColumn("_n", F.monotonically_increasing_id())
-        order = numbered.orderBy("_n").limit(int(options.get("skiprows") or 0) + (int(options["nrows"]) if options.get("nrows") is not None else 1 << 30))
-        plain = order.orderBy("_n").offset(int(options.get("skiprows") or 0)).drop("_n")
+        order, skipped = numbered.orderBy("_n"), int(options.get("skiprows") or 0)
+        if options.get("nrows") is not None:
+            order = order.limit(skipped + int(options["nrows"])).orderBy("_n")
+        plain = order.offset(skipped).drop("_n")
     if options.get("usecols"):
         plain = plain.select(*[quoted(c) for c in options["usecols"]])
     # types are found on the whole columns: a number column holds numbers only

@@ -63,6 +63,16 @@ def test_suggestions_of_whole_columns(spark):
     assert S._values(up, down, ["cust_key", "grp"], ["bucket"]) == ({("l", "cust_key"): 12_000, ("l", "grp"): 6000, ("r", "bucket"): 6000}, {("cust_key", "bucket"): 6000, ("grp", "bucket"): 6000})
 
 
+def test_skipped_rows_without_a_limit(spark, tmp_path):
+    """Without nrows no limit is in the plan; rows are those after the skipped ones."""
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n" + "".join(f"{i},x{i}\n" for i in range(10)))
+    df = I.load_table(spark, str(path), read_options={"skiprows": 3})
+    assert [r["a"] for r in df.collect()] == list(range(3, 10)) and "Limit" not in df._jdf.queryExecution().analyzed().toString()
+    assert [r["a"] for r in I.load_table(spark, str(path), read_options={"skiprows": 3, "nrows": 2}).collect()] == [3, 4]
+    assert [r["a"] for r in I.load_table(spark, str(path), read_options={"nrows": 2}).collect()] == [0, 1]
+
+
 def test_schema(spark):
     a, b = frame(spark, id=[1], legacy_status=["x"], revenue=[1.0], region=["E"]), frame(spark, id=[1], region=["E"], revenue=[1.0], discount=[0.0], discount_reason=["y"])
     x = S.compare_schemas(a, b)
