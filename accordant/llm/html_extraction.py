@@ -1,11 +1,10 @@
-"""Main text of web pages: structure first, and a suffix array of each host's token streams where structure is silent.
+"""Main text of web pages: structure first, and repeats in each host's token streams where structure is silent.
 
 1. A page's html is cut into blocks. A block is main text (inside the page's article or main element), boilerplate
    (inside an element that says so: navigation, header, footer, sidebar, notice, advert, form, comments) or open.
 2. A page's blocks outside articles are one token stream, so a run of short blocks (menus, footers) counts as a whole;
-   the streams are concatenated by host. The suffix array of a host is dealt by the
-   first ``RUN`` tokens of its suffixes; neighbours that share them and lie on distinct pages are a long repeated
-   substring. Of a prefix only the least and the largest page are needed, so common lines are pre-aggregated and no
+   the streams of a host are compared. Windows of ``RUN`` tokens are counted by hash, no suffix array is built; one
+   on distinct pages belongs to a long repeated substring. Of a window only the least and the largest page are needed, so common lines are pre-aggregated and no
    host is gathered.
 3. Open blocks lose the tokens that such substrings cover and keep their unique runs. Text that the page itself marks
    as its article is never removed for being repeated: mirrors and quoted passages repeat as well.
@@ -233,7 +232,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """``(page_id, url, text, n_chars)`` for each row of ``pages``; blocks are joined by a line feed.
 
     Null and empty pages, and pages without main text, give an empty text. Pages without a host share the empty host.
-    Equal rows are one page to the suffix array, so they don't remove each other's text; null and repeated ids are kept
+    Equal rows are one page to the count, so they don't remove each other's text; null and repeated ids are kept
     as they are. Other columns are ignored; no rows give no rows; pages of any length are read whole.
     """
     ship(pages.sparkSession)
