@@ -8,7 +8,10 @@
    ``length`` bytes, takes the Burrows-Wheeler transform and extends intervals backwards, breadth first, one byte a
    level: the common prefix of neighbouring suffixes comes out by increasing value, and the search ends at ``length``.
    Neighbours that are still apart by no value then share ``length`` bytes or more.
-4. An anchor with more than ``HOT`` different stretches is not gathered: its windows are counted by digest.
+4. An anchor with more than ``HOT`` different stretches is dealt once more, by what its windows share: those with the
+   anchor at about the same place have a core in common, so windows with different cores differ. Bands of windows with
+   an equal core are cut out, equal cuts collapse, and the cuts of a core go to one block; those of a core with more
+   than ``CROWD`` different cuts go window by window.
 5. What was found for a content holds for all its occurrences; each document joins its spans by row.
 """
 
@@ -23,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.shared import BROADCAST_ROWS, saved, ship
-from accordant.llm.textbytes import U, chunks, prefix_hash, ranges, span_hash, tidy, utf8
+from accordant.llm.shared import BROADCAST_ROWS, dropped, saved, ship
+from accordant.llm.textbytes import U, chunks, mix, prefix_hash, ranges, span_hash, tidy, utf8
 
 LENGTH = 400
 GRAM = 128
-#: Bytes of a block, and the number of different stretches above which an anchor counts as hot.
-BLOCK, HOT = 1_000_000, 256
+#: Bytes of a block, and the numbers of different stretches of an anchor and cuts of a core above which they are split.
+BLOCK, HOT, CROWD = 1_000_000, 256, 2048
 #: Bytes of a text whose anchors share a block.
 HOME = 4096
 #: Bytes by which the cores of a window's two ends differ, see ``_hopeful``.
@@ -308,67 +311,161 @@ def _block(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
+_BAND_DDL = "core long, own long, anchor long, digest long, a int, b int, n long"
+
+
+def _bands(length: int, gram: int, step: int):
+    """Of each stretch its windows, ``step`` places of the anchor to a band: the hash of the band's core, the digest of
+    its bytes, and where in the stretch they lie. A window is in one band."""
+
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                own = batch.column("bytes")[r].as_py()
-                m = len(own) - length + 1
-                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(own[k : k + length]) for k in range(m)]), np.int64).reshape(m, 2)
-                same = [pa.array(np.full(m, batch.column(c)[r].as_py())) for c in ("anchor", "digest", "n")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(m), pa.int32()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["anchor", "digest", "n", "k", "w1", "w2"])
+            data, at = utf8(batch.column("bytes"))
+            raw, sums, last = data.tobytes(), prefix_hash(data), np.diff(at) - length
+            place = batch.column("place").to_numpy().astype(np.int64)
+            anchor = batch.column("anchor").to_numpy().view(U)
+            for k in range(0, length - gram + 1, step):
+                first, stop = np.maximum(place - k - step + 1, 0), np.minimum(place - k, last)
+                some = np.flatnonzero(first <= stop)
+                if not len(some):
+                    continue
+                first, stop, head = first[some], stop[some] + length, at[some]
+                begin = head + place[some] - k  # what the windows of the band have in common
+                core = span_hash(sums, begin, begin + length - step + 1) ^ mix(anchor[some] + U(k + 1))
+                own = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip((head + first).tolist(), (head + stop).tolist())), U, len(some))
+                who = pa.array(some)
+                arrays = [pa.array(core.view(np.int64)), pa.array(own.view(np.int64)), *(batch.column(c).take(who) for c in ("anchor", "digest")), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), batch.column("n").take(who)]
+                yield pa.RecordBatch.from_arrays(arrays, ["core", "own", "anchor", "digest", "a", "b", "n"])
+
+    return run
+
+
+_CUT_DDL = "core long, own long, twice boolean, bytes binary"
+
+
+def _cuts(batches):
+    """The bytes of the cuts that come with each stretch, one row each."""
+    for batch in batches:
+        data, at = utf8(batch.column("bytes"))
+        lists = batch.column("cuts")
+        counts, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+        a, b = (flat.field(c).to_numpy().astype(np.int64) for c in ("a", "b"))
+        base, size = np.repeat(at[:-1], counts), b - a
+        ends = np.concatenate(([0], np.cumsum(size)))
+        for i, j in chunks(ends, 1 << 21):
+            packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.py_buffer(data[ranges((base + a)[i:j], size[i:j])])])
+            yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(i, j - i) for c in ("core", "own", "twice")), packed], ["core", "own", "twice", "bytes"])
+
+
+def _cut_block(length: int):
+    """The repeated spans of a block of cuts; a cut that occurs several times comes in twice."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        pieces, where, at = [], [], 0
+        for own, twice in zip(frame["bytes"], frame["twice"]):
+            where.append(at)
+            pieces += [own, b"\xff"] * (2 if twice else 1)
+            at += (len(own) + 1) * (2 if twice else 1)
+        hit = repeated_starts(np.frombuffer(b"".join(pieces), np.uint8), length)
+        core, own, spans = [], [], []
+        for w, c, o, size in zip(where, frame["core"], frame["own"], frame["bytes"].map(len)):
+            starts = np.flatnonzero(hit[w : w + size - length + 1])
+            if len(starts):
+                core.append(c)
+                own.append(o)
+                spans.append([{"a": int(x), "b": int(y)} for x, y in zip(*_merge(starts, starts + length))])
+        return pd.DataFrame({"core": pd.Series(core, dtype="int64"), "own": pd.Series(own, dtype="int64"), "spans": pd.Series(spans, dtype=object)})
 
     return run
 
 
+def _moved(by: str):
+    return F.transform("spans", lambda x: F.struct((x["a"] + F.col(by)).alias("a"), (x["b"] + F.col(by)).alias("b")))
+
+
+def _hot_spans(hot: DataFrame, length: int, gram: int, keep) -> DataFrame:
+    """``(anchor, digest, spans)`` of stretches with hot anchors, ``hot(anchor, digest, n, place, bytes)``."""
+
+    def shared(bands):  # bands whose core occurs again, and the different cuts of each core
+        again = keep(bands.groupBy("core").agg(F.sum("n").alias("all")).where("all > 1").select("core"), "cores")
+        alive = keep(bands.join(again, "core"), "alive")
+        lead = F.min(F.struct("anchor", "digest", "a", "b")).alias("lead")
+        return alive, keep(alive.groupBy("core", "own").agg(F.sum("n").alias("n"), lead), "cuts")
+
+    alive, cuts = shared(keep(hot.mapInArrow(tidy(_bands(length, gram, max(1, min(STEP, length // 8)))), _BAND_DDL), "bands"))
+    crowd = keep(cuts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > %d" % CROWD).select("core"), "crowd")
+    if crowd.count():
+        some = alive.join(crowd, "core", "left_semi").select("anchor", "digest").distinct()
+        single, windows = shared(keep(hot.join(some, ["anchor", "digest"]).mapInArrow(tidy(_bands(length, gram, 1)), _BAND_DDL), "bands"))
+        alive, cuts = alive.join(crowd, "core", "left_anti").unionByName(single), cuts.join(crowd, "core", "left_anti").unionByName(windows)
+    total = cuts.agg(F.coalesce(F.sum(F.col("lead.b") - F.col("lead.a")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // BLOCK))
+    lists = cuts.withColumn("twice", F.col("n") > 1).groupBy(F.col("lead.anchor").alias("anchor"), F.col("lead.digest").alias("digest"))
+    lists = lists.agg(F.collect_list(F.struct("core", "own", "twice", "lead.a", "lead.b")).alias("cuts"))
+    parts = hot.select("anchor", "digest", "bytes").join(lists, ["anchor", "digest"]).mapInArrow(tidy(_cuts), _CUT_DDL)
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("core"), F.lit(blocks)))
+    found = keep(dealt.groupBy("block").applyInPandas(lambda frame: _cut_block(length)(frame), "core long, own long, spans array<struct<a: int, b: int>>"), "found")
+    return alive.join(found, ["core", "own"]).select("anchor", "digest", _moved("a").alias("spans")).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """``(row, spans array<struct<a, b>>)``: the byte spans, not yet merged, of each text that holds a repeated string.
 
-    ``docs`` has the columns ``id``, ``text`` and ``row``, a digest of the text. Null texts count as empty.
+    ``docs`` has the columns ``id``, ``text`` and ``row``, a digest of the text. Null texts count as empty. The tables
+    made on the way are deleted as soon as nothing reads them; the result alone stays in the shared folder.
     """
     spark = docs.sparkSession
     ship(spark)
     gram = min(GRAM, max(1, length // 3))
+    made: list[DataFrame] = []
+
+    def keep(df, name):
+        made.append(saved(df, name))
+        return made[-1]
+
     # texts that occur several times are handled once, with their number; few such texts are sent to all executors
-    many = saved(docs.where("text is not null").groupBy("row").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("one")).where("weight > 1"), "many")
+    many = keep(docs.where("text is not null").groupBy("row").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("one")).where("weight > 1"), "many")
     few = many.count() <= BROADCAST_ROWS
     texts = docs.where("text is not null").join(F.broadcast(many) if few else many, "row", "left").where("one is null or id = one")
     texts = texts.select("row", "text", F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
-    found = saved(texts.mapInArrow(tidy(_stretches(length, gram)), _STRETCH_DDL), "stretches")
-    often = found.groupBy("anchor").agg(F.sum("weight").alias("all")).where("all > 1").select("anchor")
-    found = saved(found.join(often, "anchor"), "repeated")
+    every = saved(texts.mapInArrow(tidy(_stretches(length, gram)), _STRETCH_DDL), "stretches")
+    # sides that are joined by anchor are read from tables: a hot anchor's partition is then split as the join runs
+    often = keep(every.groupBy("anchor").agg(F.sum("weight").alias("all")).where("all > 1").select("anchor"), "often")
+    found = keep(every.join(often, "anchor"), "repeated")
+    dropped(every)
     # contents, and of each the first and last occurrence
     place = F.struct("row", "start", "size", "place")
-    contents = found.groupBy("anchor", "digest").agg(F.sum("weight").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    contents = keep(found.groupBy("anchor", "digest").agg(F.sum("weight").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")), "contents")
     # anchors whose first occurrences are near one another share a block: neighbouring stretches then overlap there
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("lo.row", F.floor(F.col("lo.start") / HOME).alias("near"))).alias("home"))
+    kinds = keep(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("lo.row", F.floor(F.col("lo.start") / HOME).alias("near"))).alias("home")), "kinds")
     alone = (F.col("lo.row") == F.col("hi.row")) & (F.col("lo.start") == F.col("hi.start"))
     chosen = contents.join(kinds, "anchor").withColumn("hot", F.col("kinds") > HOT).withColumn("twice", alone & (F.col("n") > 1))
     chosen = chosen.withColumn("at", F.explode(F.when(F.col("hot") | alone, F.array("lo")).otherwise(F.array("lo", "hi"))))
-    chosen = saved(chosen.select("anchor", "digest", "n", "twice", "hot", F.xxhash64("home").alias("home"), "at.*"), "chosen")
+    chosen = keep(chosen.select("anchor", "digest", "n", "twice", "hot", F.xxhash64("home").alias("home"), "at.*"), "chosen")
     total, hot = chosen.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.col("hot").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-total // BLOCK))
     lists = chosen.groupBy("row").agg(F.collect_list(F.struct(*_CARRIED, "size")).alias("stretches"))
     slices = texts.select("row", "text").join(lists, "row").mapInArrow(tidy(_slices), _SLICE_DDL)
     if hot:
-        slices = saved(slices, "slices")
+        slices = keep(slices, "slices")
     dealt = slices.where("not hot").withColumn("block", F.pmod("home", F.lit(blocks)))
     spans = dealt.groupBy("block").applyInPandas(lambda frame: _block(length, gram)(frame), _SPAN_DDL)
     if hot:
-        seen = saved(slices.where("hot").dropDuplicates(["anchor", "digest"]).mapInArrow(_windows(length), "anchor long, digest long, n long, k int, w1 long, w2 long"), "windows")
-        twice = seen.groupBy("anchor", "w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("anchor", "w1", "w2")
-        span = F.struct(F.col("k").alias("a"), (F.col("k") + length).cast("int").alias("b"))
-        spans = spans.unionByName(seen.join(twice, ["anchor", "w1", "w2"]).groupBy("anchor", "digest").agg(F.collect_list(span).alias("spans")))
-    spans = saved(spans, "spans")
-    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
-    return found.join(spans, ["anchor", "digest"]).select("row", moved.alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = spans.unionByName(_hot_spans(slices.where("hot").dropDuplicates(["anchor", "digest"]), length, gram, keep))
+    spans = keep(spans, "spans")
+    out = found.join(spans, ["anchor", "digest"]).select("row", _moved("start").alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = saved(out, "cuts")
+    for table in made:
+        dropped(table)
+    return out
 
 
 _DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(digest: bool):
-    """Per text (``_text``, ``_spans``) its bytes without the merged spans: their digest, or the text ``_kept``."""
+def _cut(digest: bool, words: int = 0):
+    """Per text (``_text``, ``_spans``) its bytes without the merged spans: their digest, or the text ``_kept``. Spans of
+    fewer than ``words`` words stay."""
 
     def run(batches):
         for batch in batches:
@@ -380,6 +477,9 @@ def _cut(digest: bool):
                 left, count = text, 0
                 if spans:
                     a, b = _merge(np.array([s["a"] for s in spans], np.int64), np.array([s["b"] for s in spans], np.int64))
+                    if words:
+                        enough = np.array([len(text[x:y].tobytes().split()) >= words for x, y in zip(a, b)])
+                        a, b = a[enough], b[enough]
                     if not digest:  # a cut character stays whole
                         inside = np.append((text & 0xC0) == 0x80, False)
                         for k in range(len(a)):
@@ -425,9 +525,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return found.mapInArrow(_cut(True), f"id {docs.schema[id_col].dataType.simpleString()}, {_DIGEST}")
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs``, all rows and columns, with each text as ``remove_repeats`` leaves it; a character that a span's end
-    would cut stays whole. Null texts stay null; a text may become empty."""
+    would cut stays whole. Null texts stay null; a text may become empty. With ``words``, a removed run, from where its
+    first repeated string starts to where its last ends, must hold that many words (split at ASCII white space)."""
     others = [c for c in docs.columns if c != text_col]
     # columns by number, so that no name can clash
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
@@ -435,7 +536,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = _with_spans(named, number[id_col], number[text_col], length)
     found = found.select(*(number[c] for c in others), F.col(number[text_col]).alias("_text"), "_spans")
     schema = ", ".join([*(f"{number[c]} {docs.schema[c].dataType.simpleString()}" for c in others), "_kept string"])
-    out = found.mapInArrow(_cut(False), schema)
+    out = found.mapInArrow(_cut(False, words), schema)
     return out.select(*(F.col("_kept" if c == text_col else number[c]).alias(c) for c in docs.columns))
 
 

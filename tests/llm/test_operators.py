@@ -99,9 +99,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, hot, step", [(400, 256, 16), (400, 1, 16), (40, 256, 5), (40, 2, 16)])
-def test_repeats(docs, monkeypatch, length, hot, step):
+@pytest.mark.parametrize("length, hot, crowd, step", [(400, 256, 9, 16), (400, 1, 9, 16), (400, 1, 1, 16), (40, 256, 9, 5), (40, 2, 2, 16), (40, 0, 0, 7)])
+def test_repeats(docs, monkeypatch, length, hot, crowd, step):
     monkeypatch.setattr(sad, "HOT", hot)
+    monkeypatch.setattr(sad, "CROWD", crowd)
     monkeypatch.setattr(sad, "STEP", step)
     monkeypatch.setattr(sad, "BLOCK", 3000)
     got = {r["id"]: tuple(r)[1:] for r in sad.remove_repeats(docs, length=length).collect()}
@@ -129,6 +130,19 @@ def test_cut_text_is_whole(docs, awkward, empty):
     assert sad.without_repeats(empty).count() == 0 and sad.remove_repeats(empty).count() == 0
 
 
+def test_passages_by_words(spark):
+    """With a least number of words, runs of fewer stay; passages of 50 to 60 words between own text go everywhere."""
+    plants = [words(n, 700 + n, 5000) for n in (50, 55, 60)]
+    short = words(30, 800, 5000) + " " + "longword" * 20
+    rows = [(k, " ".join([words(60, 900 + k, 10**6), plants[k % 3] if k < 9 else "", words(40, 950 + k, 10**6), short])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in sad.without_repeats(df, length=200, words=50).collect()}
+    for k, text in rows:
+        left = text.replace(plants[k % 3], "") if k < 9 else text
+        assert short in got[k] and len(left) - 12 <= len(got[k]) <= len(left) and (k >= 9 or plants[k % 3][12:-12] not in got[k])
+    assert [got[k] for k in range(9, 12)] == [rows[k][1] for k in range(9, 12)]
+
+
 def shingle_set(text, width):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
