@@ -35,6 +35,8 @@ GRAM = 128
 BLOCK, HOT, CROWD = 1_000_000, 256, 2048
 #: Bytes of a text whose anchors share a block.
 HOME = 4096
+#: One part in so many of all stretches makes an anchor heavy.
+HEAVY = 200
 #: Bytes by which the cores of a window's two ends differ, see ``_hopeful``.
 STEP = 16
 #: UTF-8 never has this byte: it ends each run of text in a block.
@@ -231,8 +233,8 @@ def _slices(batches):
             yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), *(flat.field(c).slice(i, j - i) for c in _CARRIED), packed], ["row", *_CARRIED, "bytes"])
 
 
-_CARRIED = ("anchor", "digest", "start", "place", "n", "twice", "hot", "home")
-_SLICE_DDL = "row binary, anchor long, digest long, start int, place int, n long, twice boolean, hot boolean, home long, bytes binary"
+_CARRIED = ("anchor", "digest", "start", "place", "n", "twice", "home")
+_SLICE_DDL = "row binary, anchor long, digest long, start int, place int, n long, twice boolean, home long, bytes binary"
 _SPAN_DDL = "anchor long, digest long, spans array<struct<a: int, b: int>>"
 
 
@@ -386,18 +388,22 @@ def _moved(by: str):
 def _hot_spans(hot: DataFrame, length: int, gram: int, keep) -> DataFrame:
     """``(anchor, digest, spans)`` of stretches with hot anchors, ``hot(anchor, digest, n, place, bytes)``."""
 
-    def shared(bands):  # bands whose core occurs again, and the different cuts of each core
-        again = keep(bands.groupBy("core").agg(F.sum("n").alias("all")).where("all > 1").select("core"), "cores")
-        alive = keep(bands.join(again, "core"), "alive")
-        lead = F.min(F.struct("anchor", "digest", "a", "b")).alias("lead")
-        return alive, keep(alive.groupBy("core", "own").agg(F.sum("n").alias("n"), lead), "cuts")
-
-    alive, cuts = shared(keep(hot.mapInArrow(tidy(_bands(length, gram, max(1, min(STEP, length // 8)))), _BAND_DDL), "bands"))
-    crowd = keep(cuts.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > %d" % CROWD).select("core"), "crowd")
-    if crowd.count():
-        some = alive.join(crowd, "core", "left_semi").select("anchor", "digest").distinct()
-        single, windows = shared(keep(hot.join(some, ["anchor", "digest"]).mapInArrow(tidy(_bands(length, gram, 1)), _BAND_DDL), "bands"))
-        alive, cuts = alive.join(crowd, "core", "left_anti").unionByName(single), cuts.join(crowd, "core", "left_anti").unionByName(windows)
+    def different(bands):
+        return bands.groupBy("core", "own").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "digest", "a", "b")).alias("lead"))
+
+    bands = keep(hot.mapInArrow(tidy(_bands(length, gram, max(1, min(STEP, length // 8)))), _BAND_DDL), "bands")
+    cuts = different(bands)
+    cores = cuts.groupBy("core").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    crowd = cores.where("kinds > %d" % CROWD).select("core")
+    crowded = crowd.count()
+    if crowded:
+        crowd = F.broadcast(crowd) if crowded <= BROADCAST_ROWS else crowd
+        cuts = cuts.join(crowd, "core", "left_anti")
+    cuts = cuts.join(cores.where("all > 1 and kinds <= %d" % CROWD).select("core"), "core")
+    if crowded:
+        some = bands.join(crowd, "core", "left_semi").select("anchor", "digest").distinct()
+        single = keep(hot.join(some, ["anchor", "digest"]).mapInArrow(tidy(_bands(length, gram, 1)), _BAND_DDL), "windows")
+        bands, cuts = bands.unionByName(single), cuts.unionByName(different(single).where("n > 1"))
     total = cuts.agg(F.coalesce(F.sum(F.col("lead.b") - F.col("lead.a")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
     lists = cuts.withColumn("twice", F.col("n") > 1).groupBy(F.col("lead.anchor").alias("anchor"), F.col("lead.digest").alias("digest"))
@@ -405,7 +411,7 @@ def _hot_spans(hot: DataFrame, length: int, gram: int, keep) -> DataFrame:
     parts = hot.select("anchor", "digest", "bytes").join(lists, ["anchor", "digest"]).mapInArrow(tidy(_cuts), _CUT_DDL)
     dealt = parts.withColumn("block", F.pmod(F.xxhash64("core"), F.lit(blocks)))
     found = keep(dealt.groupBy("block").applyInPandas(lambda frame: _cut_block(length)(frame), "core long, own long, spans array<struct<a: int, b: int>>"), "found")
-    return alive.join(found, ["core", "own"]).select("anchor", "digest", _moved("a").alias("spans")).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return bands.join(found, ["core", "own"]).select("anchor", "digest", _moved("a").alias("spans")).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
@@ -429,29 +435,37 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     texts = docs.where("text is not null").join(F.broadcast(many) if few else many, "row", "left").where("one is null or id = one")
     texts = texts.select("row", "text", F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
     every = saved(texts.mapInArrow(tidy(_stretches(length, gram)), _STRETCH_DDL), "stretches")
-    # sides that are joined by anchor are read from tables: a hot anchor's partition is then split as the join runs
-    often = keep(every.groupBy("anchor").agg(F.sum("weight").alias("all")).where("all > 1").select("anchor"), "often")
-    found = keep(every.join(often, "anchor"), "repeated")
+    # anchors with more than a HEAVY-th of all rows, so fewer than HEAVY, never meet in a shuffle
+    counted = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("all"))
+    least = every.count() / HEAVY
+    heavy = [r["anchor"] for r in counted.where(F.col("rows") > max(least, HEAVY)).select("anchor").collect()]
+    rest = ~F.col("anchor").isin(heavy)
+    often = counted.where("all > 1").where(rest).select("anchor")
+    found = every.where(rest).join(often, "anchor")
+    found = keep(found.unionByName(every.where(~rest)) if heavy else found, "repeated")
     dropped(every)
     # contents, and of each the first and last occurrence
     place = F.struct("row", "start", "size", "place")
-    contents = keep(found.groupBy("anchor", "digest").agg(F.sum("weight").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")), "contents")
+    contents = found.groupBy("anchor", "digest").agg(F.sum("weight").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
     # anchors whose first occurrences are near one another share a block: neighbouring stretches then overlap there
-    kinds = keep(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("lo.row", F.floor(F.col("lo.start") / HOME).alias("near"))).alias("home")), "kinds")
+    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.struct("lo.row", F.floor(F.col("lo.start") / HOME).alias("near"))).alias("home"))
+    sorted_ = contents.where(rest).join(kinds.where(rest), "anchor")
+    sorted_ = sorted_.unionByName(contents.where(~rest).join(F.broadcast(kinds.where(~rest)), "anchor")) if heavy else sorted_
     alone = (F.col("lo.row") == F.col("hi.row")) & (F.col("lo.start") == F.col("hi.start"))
-    chosen = contents.join(kinds, "anchor").withColumn("hot", F.col("kinds") > HOT).withColumn("twice", alone & (F.col("n") > 1))
+    chosen = sorted_.withColumn("hot", F.col("kinds") > HOT).withColumn("twice", alone & (F.col("n") > 1))
     chosen = chosen.withColumn("at", F.explode(F.when(F.col("hot") | alone, F.array("lo")).otherwise(F.array("lo", "hi"))))
     chosen = keep(chosen.select("anchor", "digest", "n", "twice", "hot", F.xxhash64("home").alias("home"), "at.*"), "chosen")
     total, hot = chosen.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.col("hot").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-total // BLOCK))
-    lists = chosen.groupBy("row").agg(F.collect_list(F.struct(*_CARRIED, "size")).alias("stretches"))
-    slices = texts.select("row", "text").join(lists, "row").mapInArrow(tidy(_slices), _SLICE_DDL)
-    if hot:
-        slices = keep(slices, "slices")
-    dealt = slices.where("not hot").withColumn("block", F.pmod("home", F.lit(blocks)))
+
+    def slices(some):
+        lists = some.groupBy("row").agg(F.collect_list(F.struct(*_CARRIED, "size")).alias("stretches"))
+        return texts.select("row", "text").join(lists, "row").mapInArrow(tidy(_slices), _SLICE_DDL)
+
+    dealt = slices(chosen.where("not hot")).withColumn("block", F.pmod("home", F.lit(blocks)))
     spans = dealt.groupBy("block").applyInPandas(lambda frame: _block(length, gram)(frame), _SPAN_DDL)
     if hot:
-        spans = spans.unionByName(_hot_spans(slices.where("hot").dropDuplicates(["anchor", "digest"]), length, gram, keep))
+        spans = spans.unionByName(_hot_spans(keep(slices(chosen.where("hot")).dropDuplicates(["anchor", "digest"]), "slices"), length, gram, keep))
     spans = keep(spans, "spans")
     out = found.join(spans, ["anchor", "digest"]).select("row", _moved("start").alias("spans")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = saved(out, "cuts")

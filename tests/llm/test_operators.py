@@ -103,6 +103,7 @@ def brute_repeats(texts, length):
 def test_repeats(docs, monkeypatch, length, hot, crowd, step):
     monkeypatch.setattr(sad, "HOT", hot)
     monkeypatch.setattr(sad, "CROWD", crowd)
+    monkeypatch.setattr(sad, "HEAVY", 200 if hot == 256 else 9)
     monkeypatch.setattr(sad, "STEP", step)
     monkeypatch.setattr(sad, "BLOCK", 3000)
     got = {r["id"]: tuple(r)[1:] for r in sad.remove_repeats(docs, length=length).collect()}
