@@ -186,10 +186,25 @@ def test_packing(docs, awkward, empty):
     assert pack_.pack(awkward).count() == 5 and pack_.pack(empty).count() == 0
 
 
-def test_encoder():
+def test_encoder(monkeypatch):
     e = pack_.Encoder(pack_.default_tokenizer())
-    odd = ["it's 3.5, don't! <|endoftext|> <|ENDOFTEXT|> a|b | ||", "İstanbul ΣΑΣ é ﬁ ½", "x y z\x0b\x0c.", "..,, a. B, 1.,", "naïve Straße ÀÉ", "日本 語", "", " "]
-    assert e.encode(odd) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert e.merges is not None
+    odd = ["it's 3.5, don't! <|endoftext|> <|ENDOFTEXT|> a|b | ||", "İstanbul ΣΑΣ é ﬁ ½", "x y\u00a0z\x0b\x0c.", "..,, a. B, 1.,", "naïve Straße ÀÉ", "日本 語", "", " ", "e\u0301 E\u0301 <b>x|<y <|", "'S 's''ll\u2019ll \x00\x01\x02\x7f", "×÷ ÿþ Þ", "a\ufeffb 10:30–11", "\u1680q\u2028r\u0085s"]
+    r = random.Random(5)
+    odd += ["".join(r.choices("aAbé \t.,'1ß<|ñÉ|>-ǆ", k=r.randrange(60))) for _ in range(300)]
+    odd += [" ".join("".join(r.choices("etaoinshrdluéèß", k=r.randrange(1, 24))) for _ in range(50)) for _ in range(40)]
+
+    def got(texts):
+        raw = [t.encode() for t in texts]
+        flat, at = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+        return [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    assert got(odd) == want and got(odd) == want
+    monkeypatch.setattr(pack_, "REMEMBERED", 50)  # what is forgotten is encoded again
+    assert [x for t in odd for x in got([t])] == want
+    e.merges = None
+    assert got(odd) == want
 
 
 def test_plan():
