@@ -48,15 +48,15 @@ def default_aggregations(left: DataFrame, right: DataFrame, columns: list[str],
     return {c: "sum" for c in columns if c in both}
 
 
-def control_totals(left: DataFrame, right: DataFrame, keys: list[str]) -> list[dict]:
-    """Rows and sums of each number column that both sides have, before anything is matched: one pass a side."""
+def control_totals(left: DataFrame, right: DataFrame, keys: list[str], facts: tuple[dict, dict] | None = None) -> list[dict]:
+    """Rows and sums of each number column that both sides have, before anything is matched: one pass a side, or none if
+    the facts of both sides are there."""
     shared = [c for c in numeric_columns(left, keys) if c in numeric_columns(right, keys)]
-    a, b = (df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(col(c).cast("double")), F.lit(0.0)).alias(f"s{k}") for k, c in enumerate(shared)]).first() for df in (left, right))
-    out = [{"measure": "rows", "left": a["n"], "right": b["n"], "difference": b["n"] - a["n"], "relative": (b["n"] - a["n"]) / a["n"] if a["n"] else None}]
-    for k, c in enumerate(shared):
-        x, y = a[f"s{k}"], b[f"s{k}"]
-        out.append({"measure": c, "left": x, "right": y, "difference": y - x, "relative": (y - x) / abs(x) if x else None})
-    return out
+    if facts is None:
+        both = (df.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(col(c).cast("double")), F.lit(0.0)).alias(f"s{k}") for k, c in enumerate(shared)]).collect()[0] for df in (left, right))
+        facts = tuple({"rows": r["n"], "columns": {c: {"sum": r[f"s{k}"]} for k, c in enumerate(shared)}} for r in both)
+    pairs = [("rows", *(f["rows"] for f in facts)), *[(c, *(f["columns"][c]["sum"] for f in facts)) for c in shared]]
+    return [{"measure": m, "left": x, "right": y, "difference": y - x, "relative": (y - x) / abs(x) if x else None} for m, x, y in pairs]
 
 
 def key_totals(df: DataFrame, keys: list[str], columns: list[str], prefix: str) -> DataFrame:

@@ -29,44 +29,71 @@ def joined_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     return out.select(*[quoted(k) for k in keys], F.coalesce("left_n", F.lit(0)).alias("left_n"), F.coalesce("right_n", F.lit(0)).alias("right_n"))
 
 
-def overlap(counts: DataFrame) -> DataFrame:
-    """One row: keys in common and on one side, rows of a join by key, and how many more these are than keys."""
+def _overlap_columns() -> list:
     both = (F.col("left_n") > 0) & (F.col("right_n") > 0)
     naive = F.coalesce(F.sum(F.col("left_n").cast("decimal(38,0)") * F.col("right_n")), F.lit(0)).cast("bigint")
-    out = counts.agg(
+    return [
         F.count_if(both).alias("common_keys"), F.count_if(F.col("right_n") == 0).alias("left_only_keys"), F.count_if(F.col("left_n") == 0).alias("right_only_keys"), naive.alias("naive_join_rows"),
         F.coalesce(F.max("left_n"), F.lit(0)).alias("left_max"), F.coalesce(F.max("right_n"), F.lit(0)).alias("right_max"),
-    )
-    return out.withColumn("join_inflation", F.greatest(F.col("naive_join_rows") - F.col("common_keys"), F.lit(0).cast("bigint")))
+    ]
+
+
+def overlap(counts: DataFrame) -> DataFrame:
+    """One row: keys in common and on one side, rows of a join by key, and how many more these are than keys."""
+    return counts.agg(*_overlap_columns()).withColumn("join_inflation", F.greatest(F.col("naive_join_rows") - F.col("common_keys"), F.lit(0).cast("bigint")))
 
 
 def relationship(left_max: int, right_max: int) -> str:
     return f"{'N' if left_max > 1 else '1'}:{('M' if left_max > 1 else 'N') if right_max > 1 else '1'}"
 
 
+def _multiplicity_columns(n, suffix: str = "") -> list:
+    """Aggregates over key counts; keys with no rows, which joint counts have, are no keys of this side."""
+    buckets = [F.count_if((n >= lo) & (n <= hi) if hi else n >= lo).alias(f"keys_{name.replace('-', '_').replace('+', '_up')}{suffix}") for name, lo, hi in BUCKETS]
+    return [
+        F.coalesce(F.sum(n), F.lit(0)).alias(f"keyed_rows{suffix}"), F.count_if(n > 0).alias(f"unique_keys{suffix}"), F.count_if(n > 1).alias(f"duplicate_keys{suffix}"),
+        F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias(f"duplicate_rows{suffix}"), F.coalesce(F.max(n), F.lit(0)).alias(f"max_rows{suffix}"),
+        F.coalesce(F.avg(F.when(n > 0, n)), F.lit(0.0)).alias(f"mean_rows{suffix}"), *buckets,
+    ]
+
+
 def multiplicity(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: rows, keys, duplicated ones, rows of these, largest and mean size, and keys by bucket of size."""
-    counts, n = key_counts(df, keys), F.col("n")
-    buckets = [F.count_if((n >= lo) & (n <= hi) if hi else n >= lo).alias(f"keys_{name.replace('-', '_').replace('+', '_up')}") for name, lo, hi in BUCKETS]
-    return counts.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("keyed_rows"), F.count(F.lit(1)).alias("unique_keys"), F.count_if(n > 1).alias("duplicate_keys"), F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.max(n), F.lit(0)).alias("max_rows"), F.coalesce(F.avg(n), F.lit(0.0)).alias("mean_rows"), *buckets,
-    )
+    return key_counts(df, keys).agg(*_multiplicity_columns(F.col("n")))
+
+
+def _profile(row: dict, suffix: str, rows: int, nulls: int, examples: list, formats: dict) -> dict:
+    names = ("unique_keys", "duplicate_keys", "duplicate_rows", "max_rows", "mean_rows")
+    return {
+        "rows": rows, "null_keys": nulls, **{k: row[k + suffix] for k in names}, "distribution": {name: v for name, _, _ in BUCKETS if (v := row[f"keys_{name.replace('-', '_').replace('+', '_up')}{suffix}"])},
+        "examples": examples, "format_issues": formats,
+    }
+
 
+def _examples(counts: DataFrame, keys: list[str], n: str, most: int = 10) -> list[dict]:
+    top = counts.where(F.col(n) > 1).orderBy(F.desc(n), *[quoted(k) for k in keys]).limit(most).collect()
+    return [{"key": {k: r[k] for k in keys}, "rows": r[n]} for r in top]
 
-def profile(df: DataFrame, keys: list[str], examples: int = 10) -> dict:
+
+def profile(df: DataFrame, keys: list[str]) -> dict:
     """The key profile of one table as a dictionary; only aggregates and the largest few keys reach the driver."""
-    row = multiplicity(df, keys).first().asDict()
+    row = multiplicity(df, keys).collect()[0].asDict()
     null = F.lit(False)
     for k in keys:
         null = null | col(k).isNull()
-    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(null)).first()
-    top = key_counts(df, keys).where("n > 1").orderBy(F.desc("n"), *[quoted(k) for k in keys]).limit(examples).collect()
-    return {
-        "rows": rows, "null_keys": nulls, "unique_keys": row["unique_keys"], "duplicate_keys": row["duplicate_keys"], "duplicate_rows": row["duplicate_rows"], "max_rows": row["max_rows"], "mean_rows": row["mean_rows"],
-        "distribution": {name: v for name, _, _ in BUCKETS if (v := row[f"keys_{name.replace('-', '_').replace('+', '_up')}"])},
-        "examples": [{"key": {k: r[k] for k in keys}, "rows": r["n"]} for r in top], "format_issues": {k: format_issues(df, k) for k in keys},
-    }
+    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(null)).collect()[0]
+    return _profile(row, "", rows, nulls, _examples(key_counts(df, keys), keys, "n") if row["duplicate_keys"] else [], {k: format_issues(df, k) for k in keys})
+
+
+def joint_profile(counts: DataFrame, sides: tuple[DataFrame, DataFrame], keys: list[str], rows: tuple[int, int]) -> dict:
+    """Profiles of both sides, overlap and relationship from one pass over the joint counts; rows without a key are those
+    that no key counts. Examples and formats only where there is something to show."""
+    row = counts.agg(*_overlap_columns(), *_multiplicity_columns(F.col("left_n"), "_l"), *_multiplicity_columns(F.col("right_n"), "_r")).collect()[0].asDict()
+    out = {k: row[k] for k in ("common_keys", "left_only_keys", "right_only_keys", "naive_join_rows", "left_max", "right_max")}
+    for side, suffix, df, n in (("left", "_l", sides[0], rows[0]), ("right", "_r", sides[1], rows[1])):
+        examples = _examples(counts, keys, f"{side}_n") if row["duplicate_keys" + suffix] else []
+        out[side] = _profile(row, suffix, n, n - row["keyed_rows" + suffix], examples, {k: format_issues(df, k) for k in keys})
+    return out | {"join_inflation": max(out["naive_join_rows"] - out["common_keys"], 0), "relationship": relationship(out["left_max"], out["right_max"])}
 
 
 def duplicate_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,11 +162,15 @@ def diagnose_normalizations(left: DataFrame, right: DataFrame, keys: list[str])
     one join on (normaliser, form)."""
     a = no_null_key(left, keys).select(canonical_key(left, keys).alias("k")).distinct()
     b = no_null_key(right, keys).select(canonical_key(right, keys).alias("k")).distinct()
-    only_a, only_b = a.join(b, "k", "left_anti"), b.join(a, "k", "left_anti")
+    return diagnose_lone_keys(a.join(b, "k", "left_anti"), b.join(a, "k", "left_anti"), len(keys))
+
+
+def diagnose_lone_keys(only_a: DataFrame, only_b: DataFrame, parts_: int) -> DataFrame:
+    """The same of canonical keys ``k`` that are known to be on one side only."""
 
     def forms(df):
         def applied(fn):
-            parts = [F.split(F.col("k"), SEPARATOR).getItem(i) for i in range(len(keys))]
+            parts = [F.split(F.col("k"), SEPARATOR).getItem(i) for i in range(parts_)]
             return F.concat_ws(SEPARATOR, *[F.when(p == NULL_TOKEN, p).otherwise(fn(p)) for p in parts])
 
         each = df.withColumns({f"f{i}": applied(fn) for i, fn in enumerate(KEY_NORMALIZERS.values())})

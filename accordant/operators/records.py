@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from accordant.errors import InputError
 from accordant.functions.compare import STRING_HINTS, ColumnFacts, ColumnOptions, column_facts, compare, lenient_double, resolve_kind, utc_micros
 from accordant.functions.text import canonical_text, col, normalized, quoted
+from accordant.operators import ranks
 from accordant.sources.readers import ROW
 from accordant.types import RecordStatus, family
 
 SIDE, STATUS, DATE = "_side", "_status", "_date"
 LEFT, RIGHT, CELL, DIM = "l__", "r__", "c__", "d__"
-PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+PERCENTILES, QUARTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99), (0.25, 0.5, 0.75)
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,56 +135,123 @@ def missing(records: DataFrame, keys: list[str], side: str) -> DataFrame:
 
 
 def in_order(df: DataFrame, keys: list[str], most: int | None = None, last: tuple[str, ...] = ()) -> DataFrame:
-    """Evidence in the order of its keys, nulls last, and at most ``most`` rows of it."""
+    """Evidence in the order of its keys, nulls last, and at most ``most`` rows of it; a caller that knows that there
+    are no more leaves ``most`` out, so that nothing is gathered in one task."""
     out = df.orderBy(*[col(k).asc_nulls_last() for k in [*keys, *last]])
     return out if most is None else out.limit(most)
 
 
-def column_counters(p: Plan) -> list[Column]:
-    """Aggregates over records for one column; names start with the column's place, see ``column_statistics``."""
-    c = col(CELL + p.column)
-    there, equal, mtype = c.isNotNull(), c["equal"], c["mtype"]
+_TYPES = ("numeric", "string", "datetime", "boolean", "null", "datatype")
+_UNITS = (("second", 1_000_000), ("minute", 60_000_000), ("day", 86_400_000_000))
+
+
+def _cell(i: int, p: Plan) -> Column:
+    """What is counted of one compared pair of values; ``bits`` are the units in which two times would be equal."""
+    c, none = col(CELL + p.column), F.lit(None).cast("double")
+    a, b, x, y, tests = col(LEFT + p.column), col(RIGHT + p.column), none, none, []
+    if p.kind == "numeric":
+        x, y = lenient_double(a, p.left.kind), lenient_double(b, p.right.kind)
+        sound = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+        x, y = F.when(sound, x), F.when(sound, y)
+    elif p.kind == "datetime":
+        s, t = utc_micros(a, p.left, p.options), utc_micros(b, p.right, p.options)
+        tests = [(c["mtype"] == "datetime") & (F.floor(s / F.lit(n)) == F.floor(t / F.lit(n))) for _, n in _UNITS]
+    bits = F.lit(0)
+    for k, test in enumerate(tests):
+        bits = bits + F.when(test, F.lit(1 << k)).otherwise(F.lit(0))
+    bits = F.when(c["equal"], F.lit(0)).otherwise(bits) if tests else bits
+    diff = F.when(F.abs(c["diff"]) < float("inf"), c["diff"])
+    rel = F.when(F.abs(c["rel"]) < float("inf"), c["rel"])
+    return F.struct(F.lit(i).alias("i"), *[c[n].alias(n) for n in ("equal", "mtype", "within", "both_null", "failed")], diff.alias("diff"), rel.alias("rel"), x.alias("x"), y.alias("y"), bits.alias("bits"))
+
+
+def counters(records: DataFrame, plans: list[Plan]) -> dict[str, dict]:
+    """All counters of all columns in one aggregate over (column, pair), however many columns there are; quantiles come
+    from ``difference_series``, hints for texts from ``string_hints``."""
+    if not plans:
+        return {}
+    cells = records.where(F.col(SIDE) == "both").select(F.explode(F.array(*[_cell(i, p) for i, p in enumerate(plans)])).alias("x")).select("x.*")
+    equal = F.col("equal")
     out = {
-        "compared": F.count_if(there), "matches": F.count_if(equal), "mismatches": F.count_if(there & ~equal), "within_tolerance": F.count_if(c["within"]), "both_null": F.count_if(c["both_null"]),
-        "failed": F.count_if(c["failed"]), **{f"type_{t}": F.count_if(mtype == t) for t in ("numeric", "string", "datetime", "boolean", "null", "datatype")},
+        "compared": F.count(F.lit(1)), "matches": F.count_if(equal), "mismatches": F.count_if(~equal), "within_tolerance": F.count_if("within"), "both_null": F.count_if("both_null"), "failed": F.count_if("failed"),
+        **{f"type_{t}": F.count_if(F.col("mtype") == t) for t in _TYPES}, **{f"bit_{k}": F.count_if(F.col("bits").bitwiseAND(1 << k) != 0) for k in range(len(_UNITS))}, "left_total": F.sum("x"), "right_total": F.sum("y"),
     }
-    if p.kind == "numeric":
-        x, y = lenient_double(col(LEFT + p.column), p.left.kind), lenient_double(col(RIGHT + p.column), p.right.kind)
-        sound = there & (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
-        out |= {"left_total": F.sum(F.when(sound, x)), "right_total": F.sum(F.when(sound, y))}
-    if p.kind in ("numeric", "datetime"):
-        diff, rel = c["diff"], c["rel"]
-        finite = F.when(F.abs(diff) < float("inf"), diff)
-        for name, d in (("all", finite), ("mismatch", F.when(~equal, finite)), ("relative", F.when(F.abs(rel) < float("inf"), rel))):
-            out |= {
-                f"{name}_count": F.count(d), f"{name}_mean": F.avg(d), f"{name}_std": F.stddev_samp(d), f"{name}_min": F.min(d), f"{name}_max": F.max(d), f"{name}_mean_abs": F.avg(F.abs(d)), f"{name}_sum": F.sum(d),
-                f"{name}_positive": F.count_if(d > 0), f"{name}_negative": F.count_if(d < 0), f"{name}_zero": F.count_if(d == 0), f"{name}_percentiles": F.percentile(d, F.array(*map(F.lit, PERCENTILES))),
-            }
+    for name, d in (("all", F.col("diff")), ("mismatch", F.when(~equal, F.col("diff"))), ("relative", F.col("rel"))):
+        out |= {
+            f"{name}_count": F.count(d), f"{name}_mean": F.avg(d), f"{name}_std": F.stddev_samp(d), f"{name}_min": F.min(d), f"{name}_max": F.max(d), f"{name}_mean_abs": F.avg(F.abs(d)), f"{name}_sum": F.sum(d),
+            f"{name}_positive": F.count_if(d > 0), f"{name}_negative": F.count_if(d < 0), f"{name}_zero": F.count_if(d == 0),
+        }
+    nonzero = F.when(F.col("diff") != 0, F.col("diff"))
+    out |= {"nonzero_mean": F.avg(nonzero), "nonzero_std": F.stddev_samp(nonzero)}
+    found = {r["i"]: r.asDict() for r in cells.groupBy("i").agg(*[e.alias(n) for n, e in out.items()]).collect()}
+    stats = {}
+    for i, p in enumerate(plans):
+        row = found.get(i) or {n: None if n.endswith(("_mean", "_std", "_min", "_max", "_abs", "_sum", "_total")) else 0 for n in out}
+        s = {n: v for n, v in row.items() if n in out and not n.startswith("bit_")}
+        if p.kind == "datetime":
+            s |= {f"precision_{n}": row[f"bit_{k}"] for k, (n, _) in enumerate(_UNITS)}
+        stats[p.column] = s
+    return stats
+
+
+def string_hints(records: DataFrame, plans: list[Plan]) -> dict[str, dict]:
+    """For each column of texts how many of its differing pairs each normalisation would make equal. Only pairs that
+    differ as texts are normalised, all columns' in the same expressions."""
+    texts = [(i, p) for i, p in enumerate(plans) if p.kind == "string"]
+    if not texts:
+        return {}
+    cells = [F.struct(F.lit(i).alias("i"), _text(col(LEFT + p.column), p.left).alias("s"), _text(col(RIGHT + p.column), p.right).alias("t"), (col(CELL + p.column)["mtype"] == "string").alias("wrong")) for i, p in texts]
+    wrong = records.where(F.col(STATUS) == RecordStatus.VALUE_MISMATCH.value).select(F.explode(F.filter(F.array(*cells), lambda x: x["wrong"])).alias("x")).select("x.i", "x.s", "x.t")
+    same = [F.count_if(normalized(F.col("s"), n) == normalized(F.col("t"), n)).alias(f"hint_{k}") for k, n in STRING_HINTS.items()]
+    found = {r["i"]: r.asDict() for r in wrong.groupBy("i").agg(*same).collect()}
+    kept = {p.column: [k for k, steps in STRING_HINTS.items() if not set(steps) <= set(p.options.normalize or ())] for _, p in texts}
+    return {p.column: {f"hint_{k}": found.get(i, {}).get(f"hint_{k}", 0) for k in kept[p.column]} for i, p in texts}
+
+
+#: Series of differences of a column whose quantiles are wanted; ``size`` is that of differences that aren't 0.
+_SERIES = {"all_percentiles": PERCENTILES, "mismatch_percentiles": PERCENTILES, "relative_percentiles": PERCENTILES, "nonzero_quartiles": QUARTILES, "nonzero_relative_quartiles": QUARTILES, "size": ()}
+SERIES_OF_COLUMN = len(_SERIES)
+
+
+def difference_series(records: DataFrame, plans: list[Plan]) -> tuple[list[DataFrame], dict[int, tuple[float, ...]]]:
+    """All series of all compared numbers and times, see ``ranks.series``, and the quantiles wanted of each."""
+    values: dict[int, tuple] = {}
+    wanted: dict[int, tuple[float, ...]] = {}
+    for i, p in enumerate(plans):
+        if p.kind not in ("numeric", "datetime"):
+            continue
+        c = col(CELL + p.column)
+        finite, rel = F.when(F.abs(c["diff"]) < float("inf"), c["diff"]), F.when(F.abs(c["rel"]) < float("inf"), c["rel"])
         nonzero = F.when(finite != 0, finite)
-        out |= {"nonzero_mean": F.avg(nonzero), "nonzero_std": F.stddev_samp(nonzero), "nonzero_quartiles": F.percentile(nonzero, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))),
-                "nonzero_relative_quartiles": F.percentile(F.when((finite != 0) & (F.abs(rel) < float("inf")), rel), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}
-    if p.kind == "string":
-        a, b = _text(col(LEFT + p.column), p.left), _text(col(RIGHT + p.column), p.right)
-        differ = mtype == "string"
-        done = set(p.options.normalize or ())
-        out |= {f"hint_{k}": F.count_if(differ & (normalized(a, n) == normalized(b, n))) for k, n in STRING_HINTS.items() if not set(n) <= done}
-    if p.kind == "datetime":
-        x, y = utc_micros(col(LEFT + p.column), p.left, p.options), utc_micros(col(RIGHT + p.column), p.right, p.options)
-        for unit, size in (("second", 1_000_000), ("minute", 60_000_000), ("day", 86_400_000_000)):
-            out[f"precision_{unit}"] = F.count_if((mtype == "datetime") & (F.floor(x / F.lit(size)) == F.floor(y / F.lit(size))))
-    return [e.alias(name) for name, e in out.items()]
-
-
-def column_statistics(records: DataFrame, plans: list[Plan], chunk: int = 12) -> dict[str, dict]:
-    """All counters of all columns, a few columns to a pass so that the generated code stays small."""
-    out: dict[str, dict] = {}
-    matched = records.where(F.col(SIDE) == "both")
-    for lo in range(0, len(plans), chunk):
-        some = plans[lo : lo + chunk]
-        row = matched.agg(*[F.struct(e).alias(f"x{i}_{j}") for i, p in enumerate(some) for j, e in enumerate(column_counters(p))]).first().asDict()
-        for i, p in enumerate(some):
-            out[p.column] = {k: v for name, cell in row.items() if name.startswith(f"x{i}_") for k, v in cell.asDict().items()}
-    return out
+        for k, v in enumerate((finite, F.when(~c["equal"], finite), rel, nonzero, F.when(finite != 0, rel))):
+            values[i * SERIES_OF_COLUMN + k] = (v, 1, 0)
+        values[i * SERIES_OF_COLUMN + 5] = (F.abs(nonzero), 1, (nonzero > 0).cast("int"))
+        wanted |= {i * SERIES_OF_COLUMN + k: q for k, q in enumerate(_SERIES.values())}
+    return [ranks.series(records.where(F.col(SIDE) == "both"), values)] if values else [], wanted
+
+
+def with_quantiles(stats: dict[str, dict], plans: list[Plan], measured: dict[int, dict]) -> dict[str, dict]:
+    """Counters and what ``ranks.measure`` found for ``difference_series``; ``signed`` are the ranks of sizes."""
+    for i, p in enumerate(plans):
+        if p.kind in ("numeric", "datetime"):
+            for k, name in enumerate(_SERIES):
+                m = measured.get(i * SERIES_OF_COLUMN + k)
+                if name == "size":
+                    stats[p.column]["signed"] = {"w_plus": m["ranks"], "n": m["a"], "ties": m["ties"]} if m else {"w_plus": 0.0, "n": 0, "ties": 0.0}
+                else:
+                    stats[p.column][name] = m["a_quantiles"] if m else None
+    return stats
+
+
+def column_statistics(records: DataFrame, plans: list[Plan]) -> dict[str, dict]:
+    """Counters, hints and quantiles of all columns."""
+    frames, wanted = difference_series(records, plans)
+    hints = string_hints(records, plans)
+    return {c: s | hints.get(c, {}) for c, s in _quantiled(records, plans, frames, wanted).items()}
+
+
+def _quantiled(records, plans, frames, wanted):
+    return with_quantiles(counters(records, plans), plans, ranks.measure(ranks.counted(frames), wanted) if frames else {})
 
 
 def difference_histogram(records: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -201,16 +269,24 @@ def difference_histogram(records: DataFrame, column: str, bins: int = 30) -> Dat
     return counted.select("bin", (F.lit(lo) + F.col("bin") * width).alias("low"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("high"), "count").orderBy("bin")
 
 
+def constant_offsets(records: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """For each column of times the difference that four fifths or more of its mismatches have, if it is a quarter-hour
+    up to 14 hours: all columns in one job."""
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(col(CELL + c)["mtype"] == "datetime", F.coalesce(col(CELL + c)["diff"], F.lit(0.0))).alias("d")) for i, c in enumerate(columns)])
+    each = records.where(F.col(STATUS) == RecordStatus.VALUE_MISMATCH.value).select(F.explode(F.filter(cells, lambda x: x["d"].isNotNull())).alias("x")).groupBy("x.i", "x.d").agg(F.count(F.lit(1)).alias("n"))
+    out = {}
+    for r in each.groupBy("i").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("d")).alias("d"))).alias("top")).collect():
+        d, n = -r["top"]["d"], r["top"]["n"]
+        if d and abs(d) <= 14 * 3600 and not d % 900 and n / r["total"] >= 0.8:
+            minutes = int(abs(d) // 60)
+            out[columns[r["i"]]] = {"offset_seconds": d, "offset": f"{'-' if d < 0 else '+'}{minutes // 60:02d}:{minutes % 60:02d}", "share": n / r["total"], "would_resolve": n}
+    return out
+
+
 def constant_offset(records: DataFrame, column: str) -> dict | None:
-    """The difference in time that four fifths or more of the mismatches have, if it is a quarter-hour up to 14 hours."""
-    c = col(CELL + column)
-    diffs = records.where(c["mtype"] == "datetime").groupBy(c["diff"].alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    total = diffs.agg(F.sum("n")).first()[0]
-    top = diffs.orderBy(F.desc("n"), "d").first()
-    if not total or top["d"] in (None, 0) or abs(top["d"]) > 14 * 3600 or top["d"] % 900 or top["n"] / total < 0.8:
-        return None
-    minutes = int(abs(top["d"]) // 60)
-    return {"offset_seconds": top["d"], "offset": f"{'-' if top['d'] < 0 else '+'}{minutes // 60:02d}:{minutes % 60:02d}", "share": top["n"] / total, "would_resolve": top["n"]}
+    return constant_offsets(records, [column]).get(column)
 
 
 def largest_differences(cells: DataFrame, keys: list[str], by: str = "absolute", n: int = 10, column: str | None = None) -> DataFrame:
@@ -241,10 +317,12 @@ def breakdown(records: DataFrame, dimensions: list[str]) -> DataFrame:
     return out.drop("all_records", "all_problems").withColumnsRenamed({n: d for n, d in zip(names, dimensions)})
 
 
-def levels(records: DataFrame, dimensions: list[str], period: Column | None = None) -> DataFrame:
-    """Status counts of every level of every dimension, and of every period, in one pass by grouping sets."""
-    cols = {DIM + d: d for d in dimensions} | ({"_period": "_period"} if period is not None else {})
-    base = records.withColumn("_period", period.cast("string")) if period is not None else records
+def levels(records: DataFrame, dimensions: list[str], period: Column | dict[str, Column] | None = None) -> DataFrame:
+    """Status counts of every level of every dimension, and of every period (by name, ``_period`` if there is one), in
+    one pass by grouping sets."""
+    periods = period if isinstance(period, dict) else {} if period is None else {"_period": period}
+    cols = {DIM + d: d for d in dimensions} | {n: n for n in periods}
+    base = records.withColumns({n: e.cast("string") for n, e in periods.items()}) if periods else records
     if not cols:
         return records.sparkSession.createDataFrame([], "dimension string, level string, records long, matched long, value_mismatch long, missing_left long, missing_right long")
     sets = base.groupingSets([[col(c)] for c in cols], *[col(c) for c in cols])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,13 @@ def inspect(df: DataFrame, name: str = "table") -> dict:
     return {"name": name, "rows": rows, "columns": columns}
 
 
+def inspected(df: DataFrame, name: str, facts: dict) -> dict:
+    """What ``inspect`` says, from the facts of a pass that was made already."""
+    found = facts["columns"]
+    columns = [{"name": f.name, "dtype": f.dataType.simpleString(), "logical_type": logical_type(f.dataType), "nulls": found[f.name]["nulls"], "nullable": found[f.name]["nulls"] > 0} for f in df.schema.fields if f.name != ROW]
+    return {"name": name, "rows": facts["rows"], "columns": columns}
+
+
 def diff(left: dict, right: dict, renamed: dict[str, str] | None = None) -> dict:
     a, b = ({c["name"]: c for c in s["columns"]} for s in (left, right))
     common = [c for c in a if c in b]
@@ -46,9 +54,12 @@ def diff(left: dict, right: dict, renamed: dict[str, str] | None = None) -> dict
 
 
 def name_similarity(a: str, b: str) -> float:
+    """The better of: how alike the words read when written as one, and the share of words in common."""
     x, y = ([SHORT.get(w, w) for w in name_words(n)] for n in (a, b))
-    union = set(x) | set(y)
-    return max(difflib.SequenceMatcher(None, " ".join(x), " ".join(y)).ratio(), len(set(x) & set(y)) / len(union) if union else 0.0)
+    if not x or not y:
+        return 0.0
+    shared, every = set(x).intersection(y), set(x).union(y)
+    return max(difflib.SequenceMatcher(None, "".join(x), "".join(y)).ratio(), len(shared) / len(every))
 
 
 def _values(left: DataFrame, right: DataFrame, left_only: list[str], right_only: list[str]) -> tuple[dict, dict]:
@@ -66,40 +77,38 @@ def _values(left: DataFrame, right: DataFrame, left_only: list[str], right_only:
 def suggest_matches(left: DataFrame, right: DataFrame, left_only: list[str], right_only: list[str], rows: int | None = None) -> list[dict]:
     """Pairs of columns that are on one side each and look alike: by name, type, uniqueness and values.
 
-    Whole columns are compared, or the first ``rows`` rows of each side if that is given.
+    Whole columns are compared, or the first ``rows`` rows of each side if that is given. All pairs are one table of
+    scores; a pair is suggested if it is the best left for both of its columns.
     """
     if not left_only or not right_only:
         return []
     if rows is not None:
         left, right = left.limit(rows), right.limit(rows)
-    facts = {}
-    for side, df, names in (("l", left, left_only), ("r", right, right_only)):
-        row = df.agg(*[F.struct(F.count(col(c)).alias("n"), F.count_distinct(col(c)).alias("d")).alias(f"c{i}") for i, c in enumerate(names)]).first()
-        for i, c in enumerate(names):
-            facts[side, c] = (logical_type(df.schema[c].dataType), row[f"c{i}"]["d"] / row[f"c{i}"]["n"] if row[f"c{i}"]["n"] else 0.0)
+    sides = []
+    for df, names in ((left, left_only), (right, right_only)):
+        row = df.agg(*[F.struct(F.count(col(c)).alias("n"), F.count_distinct(col(c)).alias("d")).alias(f"c{i}") for i, c in enumerate(names)]).collect()[0]
+        sides.append(pd.DataFrame({"column": names, "kind": [logical_type(df.schema[c].dataType) for c in names], "unique": [row[f"c{i}"]["d"] / max(row[f"c{i}"]["n"], 1) for i in range(len(names))]}))
     sizes, shared = _values(left, right, left_only, right_only)
-    scored = []
-    for a in left_only:
-        for b in right_only:
-            (ka, ua), (kb, ub) = facts["l", a], facts["r", b]
-            least = min(sizes["l", a], sizes["r", b])
-            parts = {"name": name_similarity(a, b), "type": float(compatible(ka, kb)), "uniqueness": 1 - abs(ua - ub)}
-            if least:
-                parts["value_overlap"] = shared[a, b] / least
-            score = sum(WEIGHTS[k] * v for k, v in parts.items()) / sum(WEIGHTS[k] for k in parts)
-            score = score if parts["type"] else score * 0.6
-            if score >= LEAST_SCORE:
-                scored.append({"left": a, "right": b, "score": score} | parts)
-    taken, out = set(), []
-    for s in sorted(scored, key=lambda s: (-s["score"], s["left"], s["right"])):
-        if ("l", s["left"]) not in taken and ("r", s["right"]) not in taken:
-            taken |= {("l", s["left"]), ("r", s["right"])}
-            out.append(s)
+    t = sides[0].merge(sides[1], how="cross", suffixes=("_l", "_r"))  # of column names, not of rows
+    pairs = list(zip(t["column_l"], t["column_r"]))
+    t["name"] = [name_similarity(a, b) for a, b in pairs]
+    t["type"] = [float(compatible(a, b)) for a, b in zip(t["kind_l"], t["kind_r"])]
+    t["uniqueness"] = 1 - (t["unique_l"] - t["unique_r"]).abs()
+    fewest = [min(sizes["l", a], sizes["r", b]) for a, b in pairs]
+    t["value_overlap"] = [shared[p] / n if n else float("nan") for p, n in zip(pairs, fewest)]
+    weight = sum(w * t[k].notna() for k, w in WEIGHTS.items())
+    t["score"] = sum(w * t[k].fillna(0.0) for k, w in WEIGHTS.items()) / weight * t["type"].map({1.0: 1.0, 0.0: 0.6})
+    t = t[t["score"] >= LEAST_SCORE].sort_values(["score", "column_l", "column_r"], ascending=[False, True, True])
+    out = []
+    while len(t):
+        best = t.iloc[0]
+        out.append({"left": best["column_l"], "right": best["column_r"], "score": float(best["score"])} | {k: float(best[k]) for k in WEIGHTS if best[k] == best[k]})
+        t = t[(t["column_l"] != best["column_l"]) & (t["column_r"] != best["column_r"])]
     return out
 
 
-def compare_schemas(left: DataFrame, right: DataFrame, renamed: dict[str, str] | None = None, suggest: bool = True) -> dict:
-    a, b = inspect(left, "left"), inspect(right, "right")
+def compare_schemas(left: DataFrame, right: DataFrame, renamed: dict[str, str] | None = None, suggest: bool = True, facts: tuple[dict, dict] | None = None) -> dict:
+    a, b = (inspected(left, "left", facts[0]), inspected(right, "right", facts[1])) if facts else (inspect(left, "left"), inspect(right, "right"))
     out = diff(a, b, renamed) | {"left": a, "right": b}
     out["suggestions"] = suggest_matches(left, right, out["removed"], out["added"]) if suggest else []
     return out

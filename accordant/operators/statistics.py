@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions.text import col
 from accordant.operators import numerics as N
+from accordant.operators import ranks
 from accordant.operators.records import CELL
 from accordant.types import family, logical_type
 
@@ -25,23 +26,13 @@ MAX_LEVELS, SHOWN_LEVELS = 1000, 30
 
 def signed_ranks(records: DataFrame, column: str) -> dict:
     """Sum of ranks of positive differences, their number and the tie term; average ranks from counts by size."""
-    d = records.select(col(CELL + column)["diff"].alias("d")).where("d is not null and d <> 0 and abs(d) < double('infinity')")
-    sizes = d.groupBy(F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("p"))
-    # ranks need the counts below: by ranges of size, then within each, so that no task sorts all sizes
-    parted = sizes.repartitionByRange(16, "a").withColumn("part", F.spark_partition_id()).cache()
-    try:
-        before = parted.groupBy("part").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        within = Window.partitionBy("part").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = parted.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(before.select("part", "base")), "part")
-        rank = F.col("base") + F.col("below") + (F.col("n") + 1) / 2
-        n = F.col("n").cast("double")
-        row = ranked.agg(F.sum(rank * F.col("p")).alias("w"), F.sum("n").alias("n"), F.sum(n * n * n - n).alias("ties")).first()
-    finally:
-        parted.unpersist()
-    return {"w_plus": row["w"] or 0.0, "n": row["n"] or 0, "ties": row["ties"] or 0.0}
-
-
-def bias(stats: dict, ranks: dict | None, alpha: float) -> dict:
+    d = F.col("d")
+    sound = records.select(col(CELL + column)["diff"].alias("d")).where("d is not null and d <> 0 and abs(d) < double('infinity')")
+    m = ranks.measure(ranks.counted([ranks.series(sound, {0: (F.abs(d), 1, (d > 0).cast("int"))})]), {}).get(0)
+    return {"w_plus": m["ranks"], "n": m["a"], "ties": m["ties"]} if m else {"w_plus": 0.0, "n": 0, "ties": 0.0}
+
+
+def bias(stats: dict, signed: dict | None, alpha: float) -> dict:
     """The verdict on one numeric column from its counters: are differences of one sign, proportional or constant?"""
     pos, neg, pairs = stats.get("all_positive") or 0, stats.get("all_negative") or 0, stats.get("all_count") or 0
     nonzero = pos + neg
@@ -55,7 +46,7 @@ def bias(stats: dict, ranks: dict | None, alpha: float) -> dict:
     consistency = max(pos, neg) / nonzero
     out |= {
         "direction": "right_higher" if pos >= neg else "right_lower", "consistency": consistency, "p_value": p, "systematic": p < alpha and consistency >= CONSISTENCY, "mean_difference": mean,
-        "mean_difference_ci95": [mean - half, mean + half], "wilcoxon_p": N.wilcoxon_p(ranks["w_plus"], ranks["n"], ranks["ties"]) if ranks else None, "median_difference": diff[1],
+        "mean_difference_ci95": [mean - half, mean + half], "wilcoxon_p": N.wilcoxon_p(signed["w_plus"], signed["n"], signed["ties"]) if signed else None, "median_difference": diff[1],
         "median_relative_difference": rel[1] if rel else None, "proportional": bool(rel and rel[1] and rel[2] - rel[0] <= PROPORTIONAL_SPREAD * abs(rel[1])),
         "constant_offset": bool(diff[1] and diff[2] - diff[0] <= OFFSET_SPREAD * abs(diff[1])),
     }
@@ -68,51 +59,52 @@ def value_counts(left: DataFrame, right: DataFrame, column: str, kind: str = "do
     return both[0].unionByName(both[1]).groupBy("v").agg(F.sum("a").cast("bigint").alias("left_n"), F.sum("b").cast("bigint").alias("right_n"))
 
 
-def cdf_distances(counts: DataFrame, parts: int = 16) -> DataFrame:
-    """One row: Kolmogorov-Smirnov and Wasserstein distances of the two empirical distributions.
+SIDE_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def side_series(left: DataFrame, right: DataFrame, columns: list[str], first: int = 0) -> tuple[list[DataFrame], dict[int, tuple[float, ...]]]:
+    """The values of number columns on both sides as series from ``first`` on, and the quantiles wanted of each."""
+    if not columns:
+        return [], {}
+    frames = [ranks.series(df, {first + i: (col(c), a, 1 - a) for i, c in enumerate(columns)}) for df, a in ((left, 1), (right, 0))]
+    return frames, {first + i: SIDE_QUANTILES for i in range(len(columns))}
+
+
+def moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Number, mean, deviation, variance, least and largest of number columns, in one pass."""
+    if not columns:
+        return {}
+    row = df.agg(*[moment_struct(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).collect()[0]
+    return {c: row[f"m{i}"].asDict() for i, c in enumerate(columns)}
 
-    The running counts come from ranges of values: what lies below a range is one row a range.
-    """
-    known = counts.where("v is not null")
-    parted = known.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
-    ends = parted.groupBy("part").agg(F.sum("left_n").alias("l"), F.sum("right_n").alias("r"), F.min("v").alias("first"))
-    w = Window.orderBy("part")
-    ends = ends.select(
-        "part", F.coalesce(F.sum("l").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("l0"), F.coalesce(F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("r0"),
-        F.lead("first").over(w).alias("next"), F.sum("l").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lt"), F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("rt"),
-    )
-    inner = Window.partitionBy("part").orderBy("v")
-    run = inner.rowsBetween(Window.unboundedPreceding, 0)
-    rows = parted.withColumn("lc", F.sum("left_n").over(run)).withColumn("rc", F.sum("right_n").over(run)).withColumn("to", F.lead("v").over(inner)).join(F.broadcast(ends), "part")
-    gap = F.abs((F.col("l0") + F.col("lc")) / F.col("lt") - (F.col("r0") + F.col("rc")) / F.col("rt"))
-    return rows.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"), F.coalesce(F.sum(gap * (F.coalesce("to", "next") - F.col("v"))), F.lit(0.0)).alias("wasserstein"))
-
-
-def numeric_profile(df: DataFrame, column: str) -> DataFrame:
-    c = col(column).cast("double")
-    ps = F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.var_samp(c).alias("variance"), F.min(c).alias("min"), F.percentile(c, ps).alias("percentiles"), F.max(c).alias("max"))
+
+def moment_struct(c: Column) -> Column:
+    x = c.cast("double")
+    return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.min(x).alias("min"), F.max(x).alias("max"))
+
+
+def numeric_distributions(columns: list[str], left: dict[str, dict], right: dict[str, dict], measured: dict[int, dict], first: int = 0, alpha: float = 0.01) -> dict[str, dict]:
+    """From the moments of both sides and what ``ranks.measure`` found for ``side_series``."""
+    out = {}
+    for i, c in enumerate(columns):
+        m = measured.get(first + i)
+        a, b = dict(left[c]) | {"percentiles": m["a_quantiles"] if m else None}, dict(right[c]) | {"percentiles": m["b_quantiles"] if m else None}
+        out[c] = {"kind": "numeric", "left": a, "right": b, "shift": False}
+        if not a["n"] or not b["n"]:
+            continue
+        pooled = math.sqrt(((a["variance"] or 0.0) + (b["variance"] or 0.0)) / 2)
+        smd = (b["mean"] - a["mean"]) / pooled if pooled else 0.0
+        p = N.ks_sf(m["ks"], a["n"], b["n"])
+        out[c] |= {"ks": m["ks"], "p_value": p, "wasserstein": m["wasserstein"], "wasserstein_standardized": m["wasserstein"] / pooled if pooled else 0.0, "smd": smd, "shift": p < alpha and (m["ks"] >= KS_SHIFT or abs(smd) >= SMD_SHIFT)}
+    return out
 
 
 def numeric_distribution(left: DataFrame, right: DataFrame, column: str, alpha: float = 0.01) -> dict:
-    a, b = (numeric_profile(df, column).first().asDict() for df in (left, right))
-    out = {"kind": "numeric", "left": a, "right": b, "shift": False}
-    if not a["n"] or not b["n"]:
-        return out
-    d = cdf_distances(value_counts(left, right, column)).first()
-    pooled = math.sqrt(((a["variance"] or 0.0) + (b["variance"] or 0.0)) / 2)
-    smd = (b["mean"] - a["mean"]) / pooled if pooled else 0.0
-    p = N.ks_sf(d["ks"], a["n"], b["n"])
-    return out | {"ks": d["ks"], "p_value": p, "wasserstein": d["wasserstein"], "wasserstein_standardized": d["wasserstein"] / pooled if pooled else 0.0, "smd": smd, "shift": p < alpha and (d["ks"] >= KS_SHIFT or abs(smd) >= SMD_SHIFT)}
+    frames, wanted = side_series(left, right, [column])
+    return numeric_distributions([column], moments(left, [column]), moments(right, [column]), ranks.measure(ranks.counted(frames), wanted), 0, alpha)[column]
 
 
-def categorical_distribution(left: DataFrame, right: DataFrame, column: str, alpha: float = 0.01) -> dict | None:
-    """None if there are more levels than can be told apart."""
-    counts = value_counts(left, right, column, "string").select(F.coalesce("v", F.lit("(null)")).alias("v"), "left_n", "right_n")
-    rows = counts.orderBy(F.desc("left_n"), F.desc("right_n"), "v").limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        return None
-    table = [(r["v"], r["left_n"], r["right_n"]) for r in rows]
+def _categorical(table: list[tuple], alpha: float) -> dict:
     l_total, r_total = sum(t[1] for t in table), sum(t[2] for t in table)
     if len(table) > SHOWN_LEVELS:
         rest = table[SHOWN_LEVELS - 1 :]
@@ -123,17 +115,41 @@ def categorical_distribution(left: DataFrame, right: DataFrame, column: str, alp
     return {"kind": "categorical", "levels": shown, "chi_square": chi, "p_value": p, "cramers_v": v, "jensen_shannon": jsd, "shift": p < alpha and (jsd >= JSD_SHIFT or v >= V_SHIFT)}
 
 
-def distributions(left: DataFrame, right: DataFrame, columns: list[str], alpha: float = 0.01) -> dict[str, dict]:
+def categorical_distributions(left: DataFrame, right: DataFrame, columns: list[str], alpha: float = 0.01) -> dict[str, dict]:
+    """All columns in one job; those with more levels than can be told apart are left out.
+
+    A column's first ``MAX_LEVELS`` + 1 levels by count are enough to tell; limits within a column are taken before the
+    shuffle as well, so no task holds a column.
+    """
+    if not columns:
+        return {}
+    frames = []
+    for df, a in ((left, 1), (right, 0)):
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(col(c).cast("string"), F.lit("(null)")).alias("v")) for i, c in enumerate(columns)])
+        frames.append(df.select(F.explode(cells).alias("x"), F.lit(a).alias("a"), F.lit(1 - a).alias("b")).select("x.i", "x.v", "a", "b"))
+    counts = frames[0].unionByName(frames[1]).groupBy("i", "v").agg(F.sum("a").alias("left_n"), F.sum("b").alias("right_n"))
+    first = Window.partitionBy("i").orderBy(F.desc("left_n"), F.desc("right_n"), "v")
+    rows = counts.withColumn("k", F.row_number().over(first)).where(F.col("k") <= MAX_LEVELS + 1).collect()
     out = {}
-    for c in columns:
-        kinds = [logical_type(df.schema[c].dataType) for df in (left, right)]
-        if all(family(k) == "numeric" for k in kinds):
-            out[c] = numeric_distribution(left, right, c, alpha)
-        elif not any(family(k) == "datetime" for k in kinds) and "float" not in kinds and (found := categorical_distribution(left, right, c, alpha)):
-            out[c] = found
+    for i, c in enumerate(columns):
+        table = [(r["v"], r["left_n"], r["right_n"]) for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["k"])]
+        if len(table) <= MAX_LEVELS:
+            out[c] = _categorical(table, alpha)
     return out
 
 
+def categorical_distribution(left: DataFrame, right: DataFrame, column: str, alpha: float = 0.01) -> dict | None:
+    """None if there are more levels than can be told apart."""
+    return categorical_distributions(left, right, [column], alpha).get(column)
+
+
+def distribution_columns(left: DataFrame, right: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
+    """Those compared as numbers, and those compared by their levels."""
+    kinds = {c: [logical_type(df.schema[c].dataType) for df in (left, right)] for c in columns}
+    numbers = [c for c, k in kinds.items() if all(family(x) == "numeric" for x in k)]
+    return numbers, [c for c, k in kinds.items() if c not in numbers and not any(family(x) == "datetime" for x in k) and "float" not in k]
+
+
 def concentration(level_rows: list[dict], dimensions: list[str], alpha: float = 0.01) -> dict[str, dict]:
     """Per dimension whether problems gather in a level; ``level_rows`` are those of ``records.levels``."""
     out = {}
@@ -173,24 +189,46 @@ def period(c: Column, frequency: str = "D") -> Column:
     return F.date_trunc({"D": "day", "W": "week", "M": "month"}[frequency], c.cast("timestamp")).cast("date")
 
 
-def _best_arc(k: np.ndarray, n: np.ndarray, least: int, xlogx) -> tuple[float, int, int]:
+def _best_arc(k: np.ndarray, n: np.ndarray, least: int, xlogx, floor: float = 0.0) -> tuple[float, int, int]:
     """The piece whose rate differs most from the rest, as the gain of two binomials over one; ``xlogx`` gives
-    x * log(x) of counts. A row of pieces with the same start at a time, so memory grows with the periods only."""
+    x * log(x) of counts. Pieces that gain ``floor`` or less aren't told apart.
+
+    Pearson's statistic is never less than the gain and needs no logarithm, so the gain itself is computed only where
+    that statistic beats the best so far. Some rows of pieces at a time: memory grows with the periods only.
+    """
     m, f = len(k), xlogx
     ck, cn = np.concatenate(([0], np.cumsum(k))), np.concatenate(([0], np.cumsum(n)))
     all_k, all_n = ck[-1], cn[-1]
-    whole = f(all_k) + f(all_n - all_k) - f(all_n)
-    best = (0.0, 0, m)
-    for i in range(m - least + 1):
-        j = np.arange(i + least, min(m, m - least + i) + 1)
-        if not len(j):
-            continue
-        x, y = ck[j] - ck[i], cn[j] - cn[i]
-        u, v = all_k - x, all_n - y
-        gain = f(x) + f(y - x) - f(y) + f(u) + f(v - u) - f(v) - whole
-        top = int(np.argmax(gain))
-        if gain[top] > best[0]:
-            best = (float(gain[top]), i, int(j[top]))
+    whole, rate = f(all_k) + f(all_n - all_k) - f(all_n), all_k / all_n
+    excess, size, scale = (ck - rate * cn).astype(np.float32), cn.astype(np.float32), all_n / (rate * (1 - rate))
+    best = (floor, 0, m)
+    rows = max(1, 100_000 // (m + 1))
+    for lo in range(0, m - least + 1, rows):
+        i = slice(lo, min(lo + rows, m - least + 1))
+        j = slice(lo + least, m + 1)
+        y = size[j] - size[i, None]
+        bound = excess[j] - excess[i, None]
+        bound *= bound
+        y *= all_n - y
+        y += np.float32(1e-20)  # nothing, or all, in a piece
+        bound /= y
+        for r in range(bound.shape[0]):
+            bound[r, :r] = -1.0  # shorter than the least
+            if lo + r < least:
+                bound[r, m - 2 * least + 1 + r :] = -1.0  # the rest would be
+        while True:
+            top = np.unravel_index(np.argmax(bound), bound.shape)
+            if bound[top] * scale * (1 + 1e-3) <= best[0]:  # single precision holds six digits
+                break
+            some = np.argwhere(bound >= max(best[0] / scale * (1 - 1e-3), 0.8 * bound[top]))
+            a, b = some[:, 0] + lo, some[:, 1] + lo + least
+            x, y = ck[b] - ck[a], cn[b] - cn[a]
+            u, v = all_k - x, all_n - y
+            gain = f(x) + f(y - x) - f(y) + f(u) + f(v - u) - f(v) - whole
+            g = int(np.argmax(gain))
+            if gain[g] > best[0]:
+                best = (float(gain[g]), int(a[g]), int(b[g]))
+            bound[some[:, 0], some[:, 1]] = -1.0
     return best
 
 
@@ -215,7 +253,7 @@ def change_points(problems, records, alpha: float = 0.01, seed: int = 0, least:
         above, most_above = 0, alpha * (repeats + 1) - 1
         for _ in range(repeats):
             order = rng.permutation(b - a)
-            above += _best_arc(sk[order], sn[order], least, xlogx)[0] >= gain - 1e-9
+            above += _best_arc(sk[order], sn[order], least, xlogx, gain - 2e-9)[0] >= gain - 1e-9
             if above >= most_above:  # no longer significant, whatever the rest gives
                 break
         p = (above + 1) / (repeats + 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 from enum import Enum
@@ -59,7 +60,7 @@ def jsonable(x: Any) -> Any:
 class ReconciliationResult:
     """Tables are lazy DataFrames over what the run keeps; ``close`` (or ``with``) gives that up."""
 
-    def __init__(self, config, status: Status, document: dict, tables: dict[str, DataFrame], keys: list[str], dimensions: list[str], kept: list[DataFrame]):
+    def __init__(self, config, status: Status, document: dict, tables: dict[str, DataFrame], keys: list[str], dimensions: list[str], kept: list[Callable[[], Any]]):
         self.config, self.status, self.keys, self.dimensions = config, status, keys, dimensions
         self._document, self.tables, self._kept = document, tables, kept
 
@@ -79,8 +80,9 @@ class ReconciliationResult:
         self.close()
 
     def close(self) -> None:
-        for df in self._kept:
-            df.unpersist()
+        for give_up in self._kept:
+            give_up()
+        self._kept = []
 
     @property
     def key_analysis(self) -> dict:

@@ -169,10 +169,9 @@ def difference_summary(spark, d):
 @query(f"""WITH {_PAIR}, x AS (SELECT pd AS d FROM v WHERE hit AND lp IS NOT NULL AND rp IS NOT NULL AND NOT pe) SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS p,
 round(unnest(quantile_cont(d, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])), 4) AS value FROM x""")
 def difference_percentiles(spark, d):
-    c = F.col("c__o_totalprice")
-    ps = F.array(*map(F.lit, R.PERCENTILES))
-    x = matched(spark, d)[0].agg(F.percentile(F.when(~c["equal"], c["diff"]), ps).alias("v")).select(F.explode(F.arrays_zip(ps.alias("p"), F.col("v"))).alias("z"))
-    return x.select(F.col("z.p").alias("p"), F.round("z.v", 4).alias("value"))
+    records, plans = matched(spark, d)
+    found = R.column_statistics(records, [p for p in plans if p.column == "o_totalprice"])["o_totalprice"]["mismatch_percentiles"]
+    return spark.createDataFrame([(p, round(v, 4)) for p, v in zip(R.PERCENTILES, found)], "p double, value double")
 
 
 @query(f"""WITH {_PAIR}, x AS (SELECT pd AS d FROM v WHERE hit AND lp IS NOT NULL AND rp IS NOT NULL AND NOT pe), b AS (SELECT min(d) AS lo, (max(d) - min(d)) / 30 AS w FROM x)
@@ -529,18 +528,20 @@ c AS (SELECT v, sum(a) OVER (ORDER BY v) / sum(a) OVER () AS f, sum(b) OVER (ORD
 
 @query(_CDF + " SELECT round(max(abs(f - g)), 8) AS ks FROM c")
 def ks_statistic(spark, d):
-    return T.cdf_distances(T.value_counts(*pair(spark, d), "o_totalprice")).select(F.round("ks", 8).alias("ks"))
+    return spark.createDataFrame([(round(T.numeric_distribution(*pair(spark, d), "o_totalprice")["ks"], 8),)], "ks double")
 
 
 @query(_CDF + " SELECT round(sum(abs(f - g) * w), 3) AS wasserstein FROM c")
 def wasserstein(spark, d):
-    return T.cdf_distances(T.value_counts(*pair(spark, d), "o_totalprice")).select(F.round("wasserstein", 3).alias("wasserstein"))
+    return spark.createDataFrame([(round(T.numeric_distribution(*pair(spark, d), "o_totalprice")["wasserstein"], 3),)], "wasserstein double")
 
 
 @query("SELECT count(o_totalprice) AS n, round(avg(o_totalprice), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS std, min(o_totalprice) AS min, max(o_totalprice) AS max, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.95), 6) AS p95 FROM orders")
 def numeric_distribution(spark, d):
-    x = T.numeric_profile(table(spark, d, "orders"), "o_totalprice")
-    return x.select("n", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"), "min", "max", F.round(F.col("percentiles")[2], 6).alias("p50"), F.round(F.col("percentiles")[4], 6).alias("p95"))
+    t = table(spark, d, "orders")
+    x = T.numeric_distribution(t, t, "o_totalprice")["left"]
+    row = (x["n"], round(x["mean"], 3), round(x["std"], 3), x["min"], x["max"], round(x["percentiles"][2], 6), round(x["percentiles"][4], 6))
+    return spark.createDataFrame([row], "n long, mean double, std double, min double, max double, p50 double, p95 double")
 
 
 @query(f"WITH r AS ({_RIGHT}), u AS (SELECT o_orderstatus AS v, 1 AS a, 0 AS b FROM orders UNION ALL SELECT o_orderstatus, 0, 1 FROM r) SELECT v AS level, sum(a)::BIGINT AS left_n, sum(b)::BIGINT AS right_n FROM u GROUP BY 1")
