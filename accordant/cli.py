@@ -7,12 +7,15 @@ import json
 import sys
 from pathlib import Path
 
-from accordant.errors import AccordantError, ConfigurationError
+from accordant.errors import AccordantError, ConfigurationError, InputError
 from accordant.plans.config import from_dict, load_config
 from accordant.plans.result import diff_documents, jsonable, load_document
 from accordant.reports import html, markdown
 
 
+DEFAULT_HISTORY = ".accordant/history.db"
+
+
 def _spark():
     from pyspark.sql import SparkSession
 
@@ -46,21 +49,32 @@ def _finish(result, args, output=None, base=None) -> int:
     return int(result.status.value in level)
 
 
+#: Options of compare that are comma-separated lists of a field of the same name.
+LISTS = ("keys", "left_keys", "right_keys", "exclude_columns", "compare_columns", "dimensions", "key_normalize", "left_group_by", "right_group_by")
+
+
+def _job(args) -> dict:
+    """The job that the options of compare describe, on top of that of ``--config``."""
+    data = {k: v for k, v in (json.loads(json.dumps(load_config(args.config).as_dict())) if args.config else {}).items() if v not in (None, {}, [])}
+    data |= {k: getattr(args, k).split(",") for k in LISTS if getattr(args, k)}
+    pairs = {"column_mapping": args.map, "aggregations": args.agg}
+    for field, given in pairs.items():
+        if given:
+            if odd := [x for x in given if "=" not in x]:
+                raise ConfigurationError(f"{odd[0]!r} should be NAME=VALUE")
+            data[field] = dict(x.split("=", 1) for x in given)
+    data |= {k: v for k, v in (("duplicate_strategy", args.strategy), ("date_column", args.date_column), ("name", args.name)) if v}
+    limits = {"max_missing_records": args.max_missing, "max_mismatch_percentage": args.max_mismatch_pct}
+    compared = {"absolute_tolerance": args.absolute_tolerance, "relative_tolerance": args.relative_tolerance, "normalize": args.normalize and args.normalize.split(","), "timezone": args.timezone}
+    for field, given in (("thresholds", limits), ("defaults", compared)):
+        data[field] = {k: v for k, v in ((data.get(field) or {}) | {k: v for k, v in given.items() if v is not None}).items() if v is not None}
+    return data
+
+
 def _compare(args) -> int:
     from accordant.plans.reconcile import reconcile
 
-    data = json.loads(json.dumps(load_config(args.config).as_dict())) if args.config else {}
-    data = {k: v for k, v in data.items() if v not in (None, {}, [])}
-    for k in ("keys", "exclude_columns", "compare_columns", "dimensions"):
-        if getattr(args, k):
-            data[k] = getattr(args, k).split(",")
-    if args.strategy:
-        data["duplicate_strategy"] = args.strategy
-    if args.map:
-        data["column_mapping"] = dict(m.split("=", 1) for m in args.map)
-    given = {k: v for k, v in (("absolute_tolerance", args.absolute_tolerance), ("relative_tolerance", args.relative_tolerance)) if v is not None}
-    data["defaults"] = {**{k: v for k, v in (data.get("defaults") or {}).items() if v is not None}, **given}
-    return _finish(reconcile(_spark(), args.left, args.right, config=from_dict(data)), args)
+    return _finish(reconcile(_spark(), args.left, args.right, config=from_dict(_job(args))), args)
 
 
 def _run(args) -> int:
@@ -98,9 +112,20 @@ def _inspect(args) -> int:
     return 0
 
 
+def _document(name: str, history: str | None) -> dict:
+    """A saved result: a JSON file, or else the id of a run in the history, of which the beginning is enough."""
+    if Path(name).is_file() or not history or not Path(history).is_file():
+        return load_document(name)
+    from accordant.plans.history import HistoryStore
+
+    found = HistoryStore(history).get(name)
+    if found is None:
+        raise InputError(f"no single run of {history} begins with {name!r}")
+    return found
+
+
 def _report(args) -> int:
-    document = load_document(args.document)
-    text = {"html": html.render, "markdown": markdown.render, "text": markdown.summary_text}[args.kind](document)
+    text = {"html": html.render, "markdown": markdown.render, "text": markdown.summary_text}[args.kind](_document(args.document, args.history))
     Path(args.output).write_text(text, encoding="utf-8") if args.output else print(text)
     return 0
 
@@ -114,7 +139,7 @@ def _history(args) -> int:
 
 
 def _diff(args) -> int:
-    changes = diff_documents(load_document(args.old), load_document(args.new))
+    changes = diff_documents(_document(args.old, args.history), _document(args.new, args.history))
     print(json.dumps(jsonable(changes), indent=2))
     return int(changes["status"]["changed"] and changes["status"]["new"] == "FAIL")
 
@@ -131,16 +156,19 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     outputs = [(f"--{k}", {}) for k in ("html", "markdown", "json", "export", "format")] + [("--fail-on", {"choices": ("fail", "warning", "never"), "default": "fail"})]
-    lists = [(f"--{k.replace('_', '-')}", {"dest": k}) for k in ("keys", "exclude_columns", "compare_columns", "dimensions", "strategy", "config")]
-    numbers = [(f"--{k}-tolerance", {"type": float, "dest": f"{k}_tolerance"}) for k in ("absolute", "relative")]
-    add("compare", _compare, ("left", {}), ("right", {}), *lists, *numbers, ("--map", {"action": "append"}), *outputs)
+    lists = [(f"--{k.replace('_', '-')}" + ("|-k" if k == "keys" else ""), {"dest": k}) for k in LISTS]
+    plain = [(f"--{k}", {}) for k in ("strategy", "config", "normalize", "timezone", "date-column", "name")]
+    numbers = [(f"--{k}-tolerance", {"type": float, "dest": f"{k}_tolerance"}) for k in ("absolute", "relative")] + [("--max-missing", {"type": int}), ("--max-mismatch-pct", {"type": float})]
+    pairs = [(f"--{k}", {"action": "append", "metavar": "NAME=VALUE"}) for k in ("map", "agg")]
+    past = ("--history", {"default": DEFAULT_HISTORY})
+    add("compare", _compare, ("left", {}), ("right", {}), *lists, *plain, *numbers, *pairs, *outputs)
     add("run", _run, ("config", {}), *outputs)
     add("validate", _validate, ("config", {}))
     add("schema", _schema, ("left", {}), ("right", {}))
     add("inspect", _inspect, ("table", {}), ("--keys", {}))
-    add("report", _report, ("document", {}), ("--kind", {"choices": ("html", "markdown", "text"), "default": "html"}), ("--output|-o", {}))
-    add("history", _history, ("--path", {"default": ".accordant/history.db"}), ("--name", {}), ("--limit", {"type": int, "default": 20}))
-    add("diff", _diff, ("old", {}), ("new", {}))
+    add("report", _report, ("document", {}), ("--kind", {"choices": ("html", "markdown", "text"), "default": "html"}), ("--output|-o", {}), past)
+    add("history", _history, ("--path", {"default": DEFAULT_HISTORY}), ("--name", {}), ("--limit", {"type": int, "default": 20}))
+    add("diff", _diff, ("old", {}), ("new", {}), past)
     return out
 
 

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from accordant.operators.numerics import wilson
 
+
+def number(x: float) -> str:
+    """A figure as it is: whole numbers in full, others to at most six places."""
+    return f"{x:.0f}" if x == int(x) else f"{x:.6f}".rstrip("0").rstrip(".")
+
+
 _ORDER = {"critical": 0, "warning": 1, "info": 2}
 
 
@@ -18,7 +24,7 @@ def findings(summary: dict, schema: dict, keys: dict, columns: dict, analyses: d
     for r in rules:
         if r["outcome"] in ("fail", "warning"):
             bound = f"at most {r['max']}" if r["max"] is not None else f"at least {r['min']}"
-            add("rules", "critical" if r["outcome"] == "fail" else "warning", "rule", f"Rule {r['name']}: {r['metric']} is {r['value']:g}, wanted {bound}", rule=r["name"])
+            add("rules", "critical" if r["outcome"] == "fail" else "warning", "rule", f"Rule {r['name']}: {r['metric']} is {number(r['value'])}, wanted {bound}", rule=r["name"])
     for side, other in (("right", "left"), ("left", "right")):
         if n := summary[f"missing_{side}"]:
             add("records", "warning", "observed", f"{n} records are missing on the {side}", f"Find out why records of the {other} table never reached the {side} one", count=n)
@@ -89,7 +95,7 @@ def findings(summary: dict, schema: dict, keys: dict, columns: dict, analyses: d
         add("temporal", "warning", "statistical", f"From {p['period']} on the problem rate is {p['rate_after']:.1%} instead of {p['rate_before']:.1%}", f"Look for a change on {p['period']}", period=p["period"])
     for t in analyses.get("control_totals", []):
         if t["difference"] and (t["relative"] is None or abs(t["relative"]) > 1e-9):
-            add("totals", "info", "observed", f"Total of {t['measure']}: {t['left']:g} on the left, {t['right']:g} on the right", measure=t["measure"])
+            add("totals", "info", "observed", f"Total of {t['measure']}: {number(t['left'])} on the left, {number(t['right'])} on the right", measure=t["measure"])
     for kind in ("added", "removed"):
         if schema[kind]:
             add("schema", "info", "observed", f"Columns {kind}: {', '.join(schema[kind])}", columns=schema[kind])

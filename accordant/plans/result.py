@@ -177,14 +177,22 @@ def load_document(path: str | Path) -> dict:
 
 
 def diff_documents(old: dict, new: dict) -> dict:
-    """What changed between two runs: status, figures, columns, rules and findings."""
+    """What changed between two runs: which runs, status, inputs, configuration, figures, columns, rules and findings."""
     a, b = old["summary"], new["summary"]
     numbers = [k for k in b if isinstance(b[k], (int, float)) and isinstance(a.get(k), (int, float))]
+    wrong = [{c: s.get("mismatches") for c, s in d["columns"].items()} for d in (old, new)]
     rules = [{r["name"]: r["outcome"] for r in d["rules"]} for d in (old, new)]
     titles = [{f["title"] for f in d["findings"]} for d in (old, new)]
+    meta = [d["metadata"] for d in (old, new)]
+    digests = {side: [(m.get(side) or {}).get("sha256") for m in meta] for side in ("left", "right")}
+
+    def changed(x: dict, y: dict) -> dict:
+        return {k: {"old": x.get(k), "new": y.get(k)} for k in sorted({*x, *y}) if x.get(k) != y.get(k)}
+
     return {
-        "status": {"old": old["status"], "new": new["status"], "changed": old["status"] != new["status"]}, "summary": {k: {"old": a[k], "new": b[k], "change": b[k] - a[k]} for k in numbers if a[k] != b[k]},
-        "columns": {c: {"old": old["columns"].get(c, {}).get("mismatches"), "new": new["columns"].get(c, {}).get("mismatches")} for c in sorted({*old["columns"], *new["columns"]}) if old["columns"].get(c, {}).get("mismatches") != new["columns"].get(c, {}).get("mismatches")},
-        "rules": {n: {"old": rules[0].get(n), "new": rules[1].get(n)} for n in sorted({*rules[0], *rules[1]}) if rules[0].get(n) != rules[1].get(n)},
+        "runs": {"old": {"name": old["name"], "run_id": meta[0].get("run_id")}, "new": {"name": new["name"], "run_id": meta[1].get("run_id")}},
+        "status": {"old": old["status"], "new": new["status"], "changed": old["status"] != new["status"]},
+        "inputs": {side: {"old": x, "new": y, "changed": x != y} for side, (x, y) in digests.items()}, "configuration_changed": meta[0].get("config_hash") != meta[1].get("config_hash"),
+        "summary": {k: {"old": a[k], "new": b[k], "change": b[k] - a[k]} for k in numbers if a[k] != b[k]}, "columns": changed(*wrong), "rules": changed(*rules),
         "new_findings": sorted(titles[1] - titles[0]), "resolved_findings": sorted(titles[0] - titles[1]),
     }

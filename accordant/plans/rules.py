@@ -16,29 +16,29 @@ class Rule(ABC):
     def evaluate(self, summary: dict, schema: dict, columns: dict) -> dict | list[dict]: ...
 
 
+#: Figures of the summary by the metric that measures them.
+_SUMMARY = {
+    "missing_records": "missing_records", "missing_left_records": "missing_left", "missing_right_records": "missing_right", "missing_percentage": "missing_percentage", "mismatched_records": "value_mismatch_records",
+    "mismatch_percentage": "mismatch_percentage", "match_percentage": "match_percentage", "ambiguous_records": "ambiguous_records",
+}
+
+
 def metric(name: str, column: str | None, summary: dict, schema: dict, columns: dict) -> float | None:
-    s = columns.get(column) if column else None
-    plain = {"missing_records": "missing_records", "missing_left": "missing_left", "missing_right": "missing_right", "missing_percentage": "missing_percentage", "mismatched_records": "value_mismatch_records",
-             "mismatch_percentage": "mismatch_percentage", "match_percentage": "match_percentage", "ambiguous_records": "ambiguous_records"}
-    if s is not None and name in ("mismatch_percentage", "match_percentage"):
-        return s["mismatch_percentage"] if name == "mismatch_percentage" else 100.0 - s["mismatch_percentage"]
-    if name in plain:
-        return summary[plain[name]]
+    """The figure that a rule measures; None where there is nothing to measure."""
+    if name in _SUMMARY:
+        return summary[_SUMMARY[name]]
     if name == "duplicate_keys":
         return summary["duplicate_keys_left"] + summary["duplicate_keys_right"]
     if name == "schema_changes":
         return schema["change_count"]
-    if s is None:
-        return None
-    if name == "column_mismatches":
-        return s["mismatches"]
-    if name == "column_mismatch_percentage":
-        return s["mismatch_percentage"]
-    if name == "column_total_relative_difference":
-        relative = s.get("totals", {}).get("relative")
-        return None if relative is None else abs(relative) * 100
-    d = s.get("differences")
-    return None if d is None else max(abs(d["min"]), abs(d["max"]))
+    s = columns.get(column, {})
+    if name in ("column_mismatches", "column_mismatch_percentage"):
+        return s.get(name.removeprefix("column_"))
+    totals = s.get("totals") or {}
+    if name == "column_total_difference":
+        return abs(totals["difference"]) if totals else None
+    relative = totals.get("relative")
+    return None if relative is None else abs(relative) * 100
 
 
 def outcome(name: str, value: float | None, *, metric: str, column: str | None = None, most: float | None = None, least: float | None = None, severity: str = "error", source: str = "rule", description: str | None = None) -> dict:

@@ -25,7 +25,7 @@ ORACLES: dict[str, str] = {}
 
 _RIGHT = """SELECT o_orderkey, o_custkey,
   CASE WHEN o_orderkey % 61 = 0 THEN lower(o_orderstatus) WHEN o_orderkey % 67 = 0 THEN concat(' ', o_orderstatus) ELSE o_orderstatus END AS o_orderstatus,
-  CASE WHEN o_orderkey % 53 = 0 THEN o_totalprice + CAST(10.0 AS DOUBLE) WHEN o_orderkey % 59 = 0 THEN o_totalprice * CAST(1.25 AS DOUBLE) WHEN o_orderkey % 37 = 0 THEN o_totalprice + CAST(0.004 AS DOUBLE)
+  CASE WHEN o_orderkey % 53 = 0 THEN o_totalprice + CAST(10.0 AS DOUBLE) WHEN o_orderkey % 59 = 0 THEN o_totalprice * CAST(1.25 AS DOUBLE) WHEN o_orderkey % 47 = 0 THEN o_totalprice - CAST(3.5 AS DOUBLE) WHEN o_orderkey % 37 = 0 THEN o_totalprice + CAST(0.004 AS DOUBLE)
     WHEN o_orderkey % 71 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
   CASE WHEN o_orderkey % 73 = 0 THEN o_orderdate + INTERVAL '330' MINUTE ELSE o_orderdate END AS o_orderdate, o_orderpriority
 FROM orders WHERE o_orderkey % 97 <> 0
@@ -60,7 +60,7 @@ def pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("o_orderkey")
     right = left.where(k % 97 != 0).select(
         "o_orderkey", "o_custkey", F.when(k % 61 == 0, F.lower("o_orderstatus")).when(k % 67 == 0, F.concat(F.lit(" "), "o_orderstatus")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
-        F.when(k % 53 == 0, F.col("o_totalprice") + 10.0).when(k % 59 == 0, F.col("o_totalprice") * 1.25).when(k % 37 == 0, F.col("o_totalprice") + 0.004).when(k % 71 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+        F.when(k % 53 == 0, F.col("o_totalprice") + 10.0).when(k % 59 == 0, F.col("o_totalprice") * 1.25).when(k % 47 == 0, F.col("o_totalprice") - 3.5).when(k % 37 == 0, F.col("o_totalprice") + 0.004).when(k % 71 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
         F.when(k % 73 == 0, F.col("o_orderdate") + F.expr("interval 330 minutes")).otherwise(F.col("o_orderdate")).alias("o_orderdate"), "o_orderpriority",
     )
     return left, right.unionByName(left.where(k % 101 == 0).withColumn("o_orderkey", k + 10_000_000))
@@ -195,12 +195,13 @@ for _by, _order, _where in (("absolute", "abs(d) DESC", "d IS NOT NULL"), ("rela
 
 
 @query(f"""WITH {_PAIR} SELECT 'trim' AS hint, count(*) FILTER (trim(ls) = trim(rs)) AS resolves FROM v WHERE hit AND NOT se UNION ALL SELECT 'casefold', count(*) FILTER (lower(ls) = lower(rs)) FROM v WHERE hit AND NOT se
-UNION ALL SELECT 'trim + casefold', count(*) FILTER (lower(trim(ls)) = lower(trim(rs))) FROM v WHERE hit AND NOT se""")
+UNION ALL SELECT 'trim + casefold', count(*) FILTER (lower(trim(ls)) = lower(trim(rs))) FROM v WHERE hit AND NOT se
+UNION ALL SELECT 'collapse_whitespace', count(*) FILTER (trim(regexp_replace(ls, '\\s+', ' ', 'g')) = trim(regexp_replace(rs, '\\s+', ' ', 'g'))) FROM v WHERE hit AND NOT se
+UNION ALL SELECT 'strip_leading_zeros', count(*) FILTER (regexp_replace(ls, '^(\\s*)0+', '') = regexp_replace(rs, '^(\\s*)0+', '')) FROM v WHERE hit AND NOT se UNION ALL SELECT 'unicode_nfkc', count(*) FILTER (nfc_normalize(ls) = nfc_normalize(rs)) FROM v WHERE hit AND NOT se""")
 def hint_string_normalization(spark, d):
     records, plans = matched(spark, d)
-    p = next(p for p in plans if p.column == "o_orderstatus")
-    rows = records.where(F.col(R.SIDE) == "both").agg(*[e for e in R.column_counters(p)])
-    return rows.select(F.explode(F.array(*[F.struct(F.lit(h).alias("hint"), X.col(f"hint_{h}").alias("resolves")) for h in ("trim", "casefold", "trim + casefold")])).alias("h")).select("h.*")
+    found = R.string_hints(records, [p for p in plans if p.column == "o_orderstatus"])["o_orderstatus"]
+    return spark.createDataFrame([(k.removeprefix("hint_"), n) for k, n in found.items()], "hint string, resolves long")
 
 
 @query(f"WITH {_PAIR}, x AS (SELECT (epoch_us(rd) - epoch_us(ld)) / 1e6 AS s FROM v WHERE hit AND NOT de) SELECT s AS offset_seconds, count(*) AS n, round(count(*) / (SELECT count(*) FROM x), 6) AS share FROM x GROUP BY 1 ORDER BY n DESC, s LIMIT 1")
@@ -213,8 +214,8 @@ def hint_constant_offset(spark, d):
 count(*) FILTER (date_trunc('day', ld) = date_trunc('day', rd)) AS precision_day FROM v WHERE hit AND NOT de""")
 def hint_precision(spark, d):
     records, plans = matched(spark, d)
-    p = next(p for p in plans if p.column == "o_orderdate")
-    return records.where(F.col(R.SIDE) == "both").agg(*R.column_counters(p)).select("precision_second", "precision_minute", "precision_day")
+    s = R.counters(records, [p for p in plans if p.column == "o_orderdate"])["o_orderdate"]
+    return spark.createDataFrame([tuple(s[f"precision_{u}"] for u in ("second", "minute", "day"))], "precision_second long, precision_minute long, precision_day long")
 
 
 # --- comparison of values ----------------------------------------------------------------------------------------
@@ -253,6 +254,9 @@ _cmp("cmp_datetime_exact", "o_orderdate", "CASE WHEN o_orderkey % 2 = 0 THEN o_o
 _cmp("cmp_datetime_tolerance", "o_orderdate", "o_orderdate + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL '1' SECOND ELSE INTERVAL '1' MINUTE END", ColumnOptions(tolerance_seconds=2), "o_orderkey % 2 = 0", within="o_orderkey % 2 = 0", diff="CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 60 END")
 _cmp("cmp_datetime_as_date", "CAST(o_orderdate AS DATE)", "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP_NTZ) + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL '5' HOUR ELSE INTERVAL '25' HOUR END", ColumnOptions(compare_as_date=True), "o_orderkey % 2 = 0", diff="CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 86400 END")
 _cmp("cmp_datetime_timezone", "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL '10' HOUR", "date_format(o_orderdate, 'yyyy-MM-dd 15:30:00')", ColumnOptions(type="datetime"), "false", diff="19800")
+# wall clocks of Berlin against UTC: an hour ahead, two in summer; on the last Sundays of March and October 02:30 is there never or twice
+_BERLIN = "CAST(CASE o_orderkey % 4 WHEN 0 THEN '2025-01-15 12:00:00' WHEN 1 THEN '2025-07-15 12:00:00' WHEN 2 THEN '2025-03-30 02:30:00' ELSE '2025-10-26 02:30:00' END AS TIMESTAMP_NTZ)"
+_cmp("cmp_datetime_zone_clock", _BERLIN, "CAST('2025-01-15 11:00:00' AS TIMESTAMP)", ColumnOptions(timezone="Europe/Berlin"), "o_orderkey % 4 = 0", failed="o_orderkey % 4 >= 2", diff="CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN -15634800 END")
 _cmp("cmp_null_semantics", "CASE WHEN o_orderkey % 4 < 2 THEN o_totalprice END", "CASE WHEN o_orderkey % 4 IN (0, 2) THEN o_totalprice END", ColumnOptions(null_equals_null=False), "o_orderkey % 4 = 0", nulls="o_orderkey % 4 <> 0", diff="CASE WHEN o_orderkey % 4 = 0 THEN 0 END")
 _cmp("cmp_empty_as_null", "CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END", "CASE WHEN o_orderkey % 2 = 0 THEN CAST(NULL AS STRING) ELSE o_orderstatus END", ColumnOptions(empty_string_as_null=True), "true")
 _cmp("cmp_datatype_failures", "o_totalprice", "CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice AS STRING) ELSE 'abc' END", ColumnOptions(), "o_orderkey % 2 = 0", failed="o_orderkey % 2 <> 0", diff="CASE WHEN o_orderkey % 2 = 0 THEN 0 END")

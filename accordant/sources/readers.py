@@ -22,7 +22,7 @@ ROW = "_row"
 # Formats by suffix, and the options that each format takes.
 SUFFIXES = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".xlsx": "excel", ".xls": "excel"}
 OPTIONS = {
-    "csv": {"sep", "delimiter", "encoding", "header", "quotechar", "escapechar", "comment", "na_values", "skiprows", "nrows", "decimal", "thousands", "usecols", "dtype"},
+    "csv": {"sep", "delimiter", "encoding", "header", "quotechar", "escapechar", "comment", "na_values", "skiprows", "nrows", "decimal", "thousands", "usecols", "dtype", "one_line_rows"},
     "parquet": {"columns"},
     "json": {"encoding"},
     "jsonl": {"encoding", "nrows"},
@@ -87,7 +87,8 @@ def as_source(obj: Any, name: str = "table", *, format: str | None = None, read_
 def _csv(spark: SparkSession, path: str, options: dict[str, Any], text: list[str]) -> DataFrame:
     sep = options.get("sep", options.get("delimiter", "\t" if path.lower().endswith(".tsv") else ","))
     reader = spark.read.option("sep", sep).option("header", options.get("header", 0) is not None and options.get("header", 0) is not False).option("escape", options.get("escapechar", '"')).option("quote", options.get("quotechar", '"'))
-    reader = reader.option("multiLine", True).option("encoding", options.get("encoding", "utf-8")).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    # files split into tasks only if no value holds a line break, which the caller has to say
+    reader = reader.option("multiLine", not options.get("one_line_rows", False)).option("encoding", options.get("encoding", "utf-8")).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
     if options.get("comment"):
         reader = reader.option("comment", options["comment"])
     plain = reader.csv(path)
@@ -104,7 +105,9 @@ def _csv(spark: SparkSession, path: str, options: dict[str, Any], text: list[str
     out, decimal, thousands = plain, options.get("decimal", "."), options.get("thousands")
     for n in nulls:
         out = out.select(*[F.when(col(c) != F.lit(n), col(c)).alias(c) for c in out.columns])
-    typed = [c for c in out.columns if c not in text and c not in (options.get("dtype") or {})]
+    given = options.get("dtype") or {}
+    wanted = {c: str(getattr(t, "__name__", t)) for c, t in (given.items() if isinstance(given, dict) else ((c, given) for c in out.columns)) if c not in text}
+    typed = [c for c in out.columns if c not in text and c not in wanted]
 
     def number(c):
         x = F.trim(col(c))
@@ -126,10 +129,26 @@ def _csv(spark: SparkSession, path: str, options: dict[str, Any], text: list[str
         x = col(c)
         if c in typed and facts[f"{c}\u0001n"]:
             x = number(c).cast("bigint") if facts[f"{c}\u0001i"] else number(c).cast("double") if facts[f"{c}\u0001f"] else F.lower(x) == "true" if facts[f"{c}\u0001b"] else x
+        elif c in wanted:
+            x = _as_type(number(c) if wanted[c] not in ("string", "str", "object") else x, c, wanted[c])
         exprs.append(x.alias(c))
     return out.select(*exprs)
 
 
+# Names of types that a caller may give.
+_TYPES = {"str": "string", "object": "string", "string": "string", "int": "bigint", "int64": "bigint", "Int64": "bigint", "int32": "int", "float": "double", "float64": "double", "float32": "float", "bool": "boolean", "boolean": "boolean"}
+
+
+def _as_type(x, column: str, name: str):
+    """``x`` as the type that the caller asks for; a value that can't be read ends the job that meets it."""
+    if name not in _TYPES:
+        raise ConfigurationError(f"dtype {name!r} of column {column!r} is unknown; known are {', '.join(_TYPES)}")
+    kind = _TYPES[name]
+    out = x.cast("string") if kind == "string" else x.try_cast(kind)
+    message = F.concat(F.lit(f"column {column!r} has a value that is no {name}: "), x)
+    return F.when(x.isNotNull() & out.isNull(), F.raise_error(message).cast(kind)).otherwise(out)
+
+
 def _json(spark: SparkSession, path: str, lines: bool, text: list[str], options: dict[str, Any]) -> DataFrame:
     reader = spark.read.option("multiLine", not lines).option("encoding", options.get("encoding", "utf-8"))
     df = reader.json(path)

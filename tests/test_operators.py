@@ -1,14 +1,17 @@
 """Keys, schema, profile, readers, statistics and numerics on small tables."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from accordant.errors import ConfigurationError, InputError
+from accordant.evaluation import SCENARIOS, evaluate
 from accordant.operators import aggregate as A
 from accordant.operators import keys as K
 from accordant.operators import numerics as N
 from accordant.operators import profile as P
+from accordant.operators import ranks
 from accordant.operators import schema as S
 from accordant.operators import statistics as T
 from accordant.sources import readers as I
@@ -20,19 +23,22 @@ def frame(spark, **columns):
 
 
 def test_multiplicity(spark):
-    a, b = frame(spark, id=[1, 1, 2, 3, 3, 3]), frame(spark, id=[1, 1, 1, 2, 3, 3])
+    a, b = frame(spark, id=[5] * 4 + [6, 7, 7, 8]), frame(spark, id=[5, 5, 6, 7, 7, 7, 9])
     o = K.overlap(K.joined_counts(a, b, ["id"])).first()
-    assert (o["naive_join_rows"], o["join_inflation"], o["common_keys"], K.relationship(o["left_max"], o["right_max"])) == (13, 10, 3, "N:M")
-    assert K.profile(a, ["id"])["distribution"] == {"1": 1, "2": 1, "3": 1}
+    assert (o["naive_join_rows"], o["join_inflation"], o["common_keys"], K.relationship(o["left_max"], o["right_max"])) == (15, 12, 3, "N:M")
+    alone = K.profile(a, ["id"])
+    assert alone["distribution"] == {"1": 2, "2": 1, "4-5": 1}
+    both = K.joint_profile(K.joined_counts(a, b, ["id"]), (a, b), ["id"], (8, 7))
+    assert both["left"] == alone and both["right"] == K.profile(b, ["id"]) and both["naive_join_rows"] == 15 and both["relationship"] == "N:M"
 
 
 def test_formats(spark):
-    x = K.format_issues(frame(spark, id=["A1", " A2", "", None, "a3", "A3", "007"]), "id")
-    assert (x["blank"], x["whitespace"], x["case_variants"], x["leading_zeros"]) == (1, 1, 2, 1)
-    x = K.format_issues(frame(spark, id=[f"CUST-{i:05d}" for i in range(50)] + ["CUST00051", "??"]), "id")
-    assert x["dominant_pattern"] == "A-9" and x["malformed"] == 2
-    d = {r["normalization"]: r["resolved"] for r in K.diagnose_normalizations(frame(spark, id=["00123", "00456", "ABC ", "x"]), frame(spark, id=["123", "456", "abc", "y"]), ["id"]).collect()}
-    assert d["strip_leading_zeros"] == 2 and d["alphanumeric_only"] == 1 and "casefold" not in d
+    x = K.format_issues(frame(spark, id=["oak", "Oak", "OAK", "elm\t", "  ", "", None, "0050", "09"]), "id")
+    assert (x["blank"], x["whitespace"], x["case_variants"], x["leading_zeros"]) == (2, 2, 3, 2)
+    x = K.format_issues(frame(spark, id=[f"{i}/{i * 7}:z" for i in range(60)] + ["60-420-z", "none", "61/z"]), "id")
+    assert x["dominant_pattern"] == "9/9:A" and x["malformed"] == 3 and set(x["malformed_examples"]) == {"60-420-z", "none", "61/z"}
+    d = {r["normalization"]: r["resolved"] for r in K.diagnose_normalizations(frame(spark, id=["0008", "00x", "Fir-3", "same"]), frame(spark, id=["8", "x", "FIR 3", "same"]), ["id"]).collect()}
+    assert d == {"strip_leading_zeros": 1, "alphanumeric_only": 1}
 
 
 def test_aggregation(spark):
@@ -48,10 +54,38 @@ def test_aggregation(spark):
 
 
 def test_grain(spark):
-    df = frame(spark, txn_id=[f"t{i}" for i in range(36)], date=[f"d{i % 3}" for i in range(36)], store=[f"s{i // 3 % 3}" for i in range(36)], product=[f"p{i // 9}" for i in range(36)], revenue=[float(i) for i in range(36)])
-    fine, coarse = P.infer_grain(df), P.infer_grain(df.drop("txn_id"))
-    assert fine["columns"] == ["txn_id"] and set(coarse["columns"]) == {"date", "store", "product"}
-    assert P.find_dimensions(df, df, ["txn_id"]) == ["date", "store", "product"] and P.find_date_column(df) is None
+    n = 60
+    df = frame(spark, seat=[f"{i:03d}" for i in range(n)], row=[f"r{i % 5}" for i in range(n)], deck=[f"d{i // 5 % 4}" for i in range(n)], wing=[f"w{i // 20}" for i in range(n)], price=[i / 7 for i in range(n)])
+    fine, coarse = P.infer_grain(df), P.infer_grain(df.drop("seat"))
+    assert fine["columns"] == ["seat"] and set(coarse["columns"]) == {"row", "deck", "wing"} and not P.infer_grain(df.select("row", "deck"))["unique"]
+    assert P.find_dimensions(df, df, ["seat"]) == ["row", "deck", "wing"] and P.find_date_column(df) is None
+    pairs = spark.range(20_000).selectExpr("id % 200 AS x", "id div 200 AS y", "id % 7 AS z", "id * 0.5 AS f")
+    assert set(P.infer_grain(pairs)["columns"]) == {"x", "y"}
+    late = pairs.unionByName(pairs.where("x = 199 and y = 99"))  # a repeat that the first rows don't show
+    assert not P.infer_grain(late)["unique"]
+    assert compare_names() == (True, False, True, False, False)
+
+
+def compare_names():
+    return P.id_like("partKey"), P.id_like("paid"), P.date_like("ship_date"), P.date_like("candidate"), P.date_like("updated_at")
+
+
+def test_quantiles(spark):
+    """Quantiles, distances and rank sums of several series at once, against a sort in memory."""
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=700).round(1), r.normal(0.4, 1, 500).round(1)
+    df = spark.createDataFrame([(float(v), 1) for v in x] + [(float(v), 0) for v in y] + [(None, 1)], "v double, left int")
+    ps = (0.0, 0.05, 0.33, 0.5, 0.99, 1.0)
+    both = ranks.series(df, {0: (F.col("v"), F.col("left"), 1 - F.col("left")), 7: (F.abs("v"), 1, (F.col("v") > 0).cast("int")), 9: (F.lit(None), 1, 0)})
+    got = ranks.measure(ranks.counted([both]), {0: ps, 7: (0.5,)})
+    assert set(got) == {0, 7} and (got[0]["a"], got[0]["b"]) == (700, 500)
+    assert got[0]["a_quantiles"] == pytest.approx(np.quantile(x, ps)) and got[0]["b_quantiles"] == pytest.approx(np.quantile(y, ps))
+    at = np.unique(np.concatenate([x, y]))
+    f, g = np.searchsorted(np.sort(x), at, "right") / 700, np.searchsorted(np.sort(y), at, "right") / 500
+    assert got[0]["ks"] == pytest.approx(np.abs(f - g).max()) and got[0]["wasserstein"] == pytest.approx((np.abs(f - g)[:-1] * np.diff(at)).sum())
+    z = np.concatenate([x, y])
+    assert got[7]["ranks"] == pytest.approx(pd.Series(np.abs(z)).rank().to_numpy()[z > 0].sum()) and got[7]["a_quantiles"] == pytest.approx([np.median(np.abs(z))])
+    assert ranks.measure(ranks.counted([both.limit(0)]), {0: ps}) == {}
 
 
 def test_suggestions_of_whole_columns(spark):
@@ -74,11 +108,13 @@ def test_skipped_rows_without_a_limit(spark, tmp_path):
 
 
 def test_schema(spark):
-    a, b = frame(spark, id=[1], legacy_status=["x"], revenue=[1.0], region=["E"]), frame(spark, id=[1], region=["E"], revenue=[1.0], discount=[0.0], discount_reason=["y"])
+    a, b = frame(spark, id=[1], shade=["x"], depth=[1.0], zone=["E"]), frame(spark, id=[1], zone=["E"], depth=[1.0], lid=[0.0], remark=["y"])
     x = S.compare_schemas(a, b)
-    assert x["added"] == ["discount", "discount_reason"] and x["removed"] == ["legacy_status"] and x["order_changed"]
-    a, b = frame(spark, customer_id=[1, 2], sales_amount=[1.5, 2.5], transaction_date=["2026-01-01", "2026-01-02"]), frame(spark, cust_id=[1, 2], sales_amt=[1.5, 2.5], txn_dt=["2026-01-01", "2026-01-02"], unrelated=["p", "q"])
-    assert {(s["left"], s["right"]) for s in S.compare_schemas(a, b)["suggestions"]} == {("customer_id", "cust_id"), ("sales_amount", "sales_amt"), ("transaction_date", "txn_dt")}
+    assert x["added"] == ["lid", "remark"] and x["removed"] == ["shade"] and x["order_changed"]
+    a = frame(spark, account_number=["x1", "x2"], order_quantity=[3, 9], invoice_date=["2025-02-01", "2025-02-03"], weight=[1.0, 2.0])
+    b = frame(spark, acctNo=["x1", "x2"], ord_qty=[3, 9], inv_dt=["2025-02-01", "2025-02-03"], remark=["p", "q"])
+    assert {(s["left"], s["right"]) for s in S.compare_schemas(a, b)["suggestions"]} == {("account_number", "acctNo"), ("order_quantity", "ord_qty"), ("invoice_date", "inv_dt")}
+    assert S.name_similarity("cust_id", "custid") > 0.7 and S.name_similarity("a", "") == 0.0
 
 
 def test_readers(spark, tmp_path):
@@ -117,20 +153,37 @@ def test_numerics(spark):
 
 
 def test_change_points():
-    n = [500] * 30
-    k = [5] * 14 + [60] * 16
-    assert [c["index"] for c in T.change_points(k, n)] == [14]
-    k = [5] * 13 + [60] * 5 + [5] * 12
-    assert [c["index"] for c in T.change_points(k, n)] == [13, 18]
-    assert T.change_points([5] * 25, [500] * 25) == []
-    rows = [(f"2026-09-{d:02d}", 40 if d == 13 else 5, 500) for d in range(1, 21)]
-    assert [a["period"] for a in T.timeline(rows)["anomalies"]] == ["2026-09-13"]
-
-
-def test_evaluation(spark):
-    from accordant.evaluation import SCENARIOS, evaluate
-
-    for name, wanted in (("missing_and_extra", {}), ("biased_segment", {"bias": ["revenue"], "concentrated": ["region"]}), ("timezone", {})):
-        got = evaluate(spark, next(s for s in SCENARIOS if s.name == name), rows=3000)
-        assert all(v == 1.0 for k, v in got.items() if k.endswith(("precision", "recall"))), got
-        assert {k: got[k] for k in wanted} == wanted
+    n = [800] * 40
+    assert [c["index"] for c in T.change_points([9] * 22 + [77] * 18, n)] == [22]
+    assert [c["index"] for c in T.change_points([9] * 11 + [77] * 6 + [9] * 23, n)] == [11, 17]
+    assert T.change_points([9] * 40, n) == []
+    rows = [(f"2025-05-{d:02d}", 66 if d == 9 else 7, 800) for d in range(1, 27)]
+    assert [a["period"] for a in T.timeline(rows)["anomalies"]] == ["2025-05-09"]
+
+
+@pytest.mark.parametrize("name, wanted", [("missing_and_extra", {}), ("rounding_without_tolerance", {}), ("systematic_bias_segment", {"bias": ["fee"], "concentrated": [("hub", "valley")]}), ("segment_missing", {"unmatched": [("carrier", "rail")]}), ("grain_difference", {"grain_diagnosed": True})])
+def test_evaluation(spark, name, wanted):
+    got = evaluate(spark, next(s for s in SCENARIOS if s.name == name), rows=6000, seed=1)
+    assert all(v == 1.0 for k, v in got.items() if k.endswith(("precision", "recall"))), got
+    assert {k: got[k] for k in wanted} == wanted
+
+
+def test_dtype(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b,c\n1,007,x\n2,8,\n")
+    df = I.load_table(spark, path, read_options={"dtype": {"a": "float", "b": "str"}})
+    assert [tuple(r) for r in df.select("a", "b", "c").collect()] == [(1.0, "007", "x"), (2.0, "8", None)]
+    with pytest.raises(Exception, match="no int"):
+        I.load_table(spark, path, read_options={"dtype": {"c": "int"}}).collect()
+    with pytest.raises(ConfigurationError):
+        I.load_table(spark, path, read_options={"dtype": {"c": "complex"}})
+    assert I.load_table(spark, path, read_options={"one_line_rows": True}).count() == 2
+
+
+def test_fingerprint_of_parts(spark, tmp_path):
+    """A directory is known by its listing and footers; other rows or another part make another digest."""
+    spark.range(100).coalesce(2).write.parquet(str(tmp_path / "d"))
+    first = fingerprint_file(tmp_path / "d")
+    assert first["rows"] == 100 and first["columns"] == 1 and first["complete"] and fingerprint_file(tmp_path / "d") == first
+    spark.range(7).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    assert fingerprint_file(tmp_path / "d")["rows"] == 107 and fingerprint_file(tmp_path / "d")["sha256"] != first["sha256"]
