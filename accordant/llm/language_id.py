@@ -1,9 +1,10 @@
 """Language identification by cross-parsing: suffix automata of labelled text, fewest normalised phrases win.
 
-For each language a suffix automaton of a bounded sample of its labelled words accepts exactly the substrings of that
-sample. A word is cut greedily into phrases, each the longest prefix of what is left that the automaton accepts; a
-language that fits needs few phrases. Phrases are counted over all words of a text and divided by its letter bytes.
-Words are cut one by one, with their boundary marked on both sides, so each distinct word of a chunk is parsed once.
+For each language a suffix automaton of a bounded sample of its labelled text accepts exactly the substrings of that
+sample. A text is cut greedily into phrases, each the longest prefix of what is left that the automaton accepts; a
+language that fits needs few phrases. Letters in a row are words, whatever lies between two words is one mark, and
+phrases run over words. Texts are parsed whole, in runs of ``RUN`` bytes side by side: a phrase also ends where a run
+does, in all languages alike. Phrases are divided by the text's letter bytes.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.llm.shared import ship
-from accordant.llm.textbytes import chunks, ranges, tidy, utf8, word_table, words
+from accordant.llm.textbytes import chunks, tidy, utf8, word_table
 
-#: The sample that a language is learned from: at most so many documents, and so many bytes of distinct words.
-SAMPLE_DOCS, SAMPLE_BYTES = 256, 24_000
-#: A longer run of letters is parsed in pieces of so many bytes.
-PIECE = 32
-EDGE = 1  # the code of a word's boundary; 0: a byte that no sample has
+#: The sample that a language is learned from: at most so many documents, and so many bytes of their text.
+SAMPLE_DOCS, SAMPLE_BYTES = 64, 24_000
+#: Bytes of a run, of the text that is parsed at once, and languages that are.
+RUN, CHUNK, TOGETHER = 512, 1 << 20, 8
+EDGE = 1  # the code of what lies between two words; 0: a byte that no sample has
 LETTER_BYTES = word_table(lambda b: 97 <= b <= 122 or b >= 128)
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -77,18 +78,35 @@ def suffix_automaton(text: bytes, code: np.ndarray) -> np.ndarray:
 
 
 class Parser:
-    """The automata of all languages, made from their sample words once in each worker."""
+    """The automata of all languages, made from their samples once in each worker.
+
+    Each is a complete table: where a state lacks a byte, the phrase ends and the next one begins with that byte, so a
+    step always takes one byte, and its entry says whether a phrase begins there.
+    """
 
     _made: dict = {}
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        seen = sorted({b for ws in samples.values() for w in ws for b in w})
-        self.code = np.zeros(256, np.int32)
+        seen = sorted({b for texts in samples.values() for t in texts for b in t} - {EDGE})
+        self.code = np.zeros(256, np.uint8)
         self.code[seen] = np.arange(2, len(seen) + 2)
-        marked = self.code.copy()
-        marked[1] = EDGE
-        self.automata = [suffix_automaton(b"\x00".join(b"\x01" + w + b"\x01" for w in samples[x]), marked) for x in self.languages]
+        self.pad = len(seen) + 2  # after a run's end: no byte, no phrase
+        codes = self.code.astype(np.int32)
+        codes[EDGE] = EDGE
+        self.tables = [self._complete(suffix_automaton(b"\x00".join(b"\x01" + t + b"\x01" for t in samples[x]), codes)) for x in self.languages]
+
+    def _complete(self, step: np.ndarray) -> np.ndarray:
+        states, width = len(step), self.pad + 1
+        to = np.full((states, width), -1, np.int64)
+        to[:, : step.shape[1]] = step
+        lacks = to < 0
+        first = np.maximum(to[0], 0)  # a byte that the language never has is a phrase of its own
+        to = np.where(lacks, first, to)
+        begins = lacks.copy()
+        begins[0] = True
+        to[:, self.pad], begins[:, self.pad] = np.arange(states), False
+        return ((to * width) << 1 | begins).astype(np.int64 if states * width > 1 << 29 else np.int32).ravel()
 
     @classmethod
     def of(cls, key: str, samples: dict[str, list[bytes]]) -> Parser:
@@ -97,28 +115,39 @@ class Parser:
             cls._made[key] = cls(samples)
         return cls._made[key]
 
-    def phrases(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Phrases that each word needs (rows) in each language (columns)."""
-        length = end - start
-        heads = np.cumsum(length + 2) - (length + 2)
-        codes = np.full(int((length + 2).sum()), EDGE, np.int32)
-        codes[ranges(heads + 1, length)] = self.code[data[ranges(start, length)]]
-        out = np.zeros((len(start), len(self.languages)), np.int64)
-        for k, step in enumerate(self.automata):
-            which, at, stop = np.arange(len(start)), heads.copy(), heads + length + 2
-            state = np.zeros(len(start), np.int32)
-            while len(which):
-                to = step[state, codes[at]]
-                went = to >= 0
-                alone = ~went & (state == 0)  # a byte that the language never has is a phrase
-                out[which[~went], k] += 1
-                state = np.where(went, to, 0)
-                at = at + (went | alone)
-                over = at >= stop
-                if over.any():
-                    out[which[over & (state != 0)], k] += 1
-                    go = ~over
-                    which, at, stop, state = which[go], at[go], stop[go], state[go]
+    def stream(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of lower-case texts with one mark between words; where each text's begin (n + 1); letter bytes of each."""
+        rows = offsets - offsets[0]
+        on = LETTER_BYTES[data] != 0
+        before = np.concatenate(([False], on[:-1]))[: len(on)]
+        before[rows[:-1][rows[:-1] < len(on)]] = False
+        kept = on | before
+        at, letters = np.concatenate(([0], np.cumsum(kept))), np.concatenate(([0], np.cumsum(on)))
+        return np.where(on, self.code[data], EDGE).astype(np.uint8)[kept], at[rows], np.diff(letters[rows])
+
+    def phrases(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Phrases that each text (rows) needs in each language (columns)."""
+        size = np.diff(at)
+        runs = -(-size // RUN)
+        owner = np.repeat(np.arange(len(size)), runs)
+        start = at[owner] + RUN * (np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs))
+        stop = np.minimum(start + RUN, at[owner + 1])
+        out = np.zeros((len(size), len(self.languages)), np.int64)
+        if not len(owner):
+            return out
+        place = start + np.arange(int((stop - start).max()))[:, None]
+        lanes = np.where(place < stop, codes[np.minimum(place, len(codes) - 1)], self.pad)
+        for lo in range(0, len(self.tables), TOGETHER):
+            some = self.tables[lo : lo + TOGETHER]
+            found = [np.zeros(len(owner), np.int32) for _ in some]
+            state = [np.zeros(len(owner), t.dtype) for t in some]
+            for row in lanes:
+                for k, table in enumerate(some):
+                    entry = table[state[k] + row]
+                    found[k] += entry & 1
+                    state[k] = entry >> 1
+            for k, n in enumerate(found):
+                out[:, lo + k] = np.bincount(owner, n, len(size))
         return out
 
 
@@ -130,22 +159,9 @@ def _predict(samples: dict[str, list[bytes]], key: str, text_col: str, added: tu
             text = batch.column(text_col)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             data, at = utf8(pc.utf8_lower(text))
-            for i, j in chunks(at):
-                part = data[at[i] : at[j]]
-                hashes, first, start, end = words(part, at[i : j + 1], LETTER_BYTES)
-                if (end - start > PIECE).any():  # in pieces; a piece that ends inside a character is no less a phrase
-                    n = -(-(end - start) // PIECE)
-                    first = np.concatenate(([0], np.cumsum(n)))[first]
-                    begin = np.repeat(start, n) + PIECE * ranges(np.zeros(len(n), np.int64), n)
-                    start, end = begin, np.minimum(begin + PIECE, np.repeat(end, n))
-                    owner = np.repeat(hashes, n)
-                    hashes = owner ^ (begin - np.repeat(begin[np.cumsum(n) - n], n)).astype(np.uint64)
-                _, once, back = np.unique(hashes, return_index=True, return_inverse=True)
-                need = parser.phrases(part, start[once], end[once])[back]
-                total = np.concatenate((np.zeros((1, need.shape[1]), np.int64), np.cumsum(need, axis=0)))
-                total = total[first[1:]] - total[first[:-1]]
-                size = np.concatenate(([0], np.cumsum(end - start)))
-                size = size[first[1:]] - size[first[:-1]]
+            for i, j in chunks(at, CHUNK):
+                codes, begin, size = parser.stream(data[at[i] : at[j]], at[i : j + 1])
+                total = parser.phrases(codes, begin)
                 known = letters[i:j] & (size > 0) & (total.shape[1] > 0)
                 lang, score = np.full(j - i, None, object), np.zeros(j - i)
                 if total.shape[1]:
@@ -164,51 +180,34 @@ def _predict(samples: dict[str, list[bytes]], key: str, text_col: str, added: tu
     return run
 
 
-def _counted(batches):
-    """Words of labelled texts, cut to ``PIECE`` bytes, and how often each occurs in a language."""
-    for batch in batches:
-        counts: dict[tuple[str, bytes], int] = {}
-        for r in range(batch.num_rows):
-            lang = batch.column("lang")[r].as_py()
-            for w in _WORD.finditer(batch.column("text")[r].as_py().encode()):
-                key = lang, w[0][:PIECE]
-                counts[key] = counts.get(key, 0) + 1
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
-
-
 def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """Sample words of each language from ``labelled``: at most ``docs`` documents, picked by hash and read whole, and ``size`` bytes of distinct words."""
+    """A sample of each language's text from ``labelled``: at most ``docs`` different texts, picked by hash, and ``size``
+    bytes of them together, whatever lies between words being one mark. Texts without a letter teach nothing; a longer
+    text than ``size`` is cut, as the sample is. Null texts and languages are left out; no rows give no languages."""
     ship(labelled.sparkSession)
     # of each language, the documents with the smallest hashes in each of 32 parts: no part is sorted in full, no text is moved
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
     near = Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h")
     picked = rows.distinct().withColumn("k", F.row_number().over(near)).where(F.col("k") <= max(1, docs // 32)).select("lang", "h")
     hashes = {(r.lang, r.h) for r in picked.collect()}
     if not hashes:
         return {}
-    chosen = labelled.where(F.xxhash64(text_col).isin(sorted({h for _, h in hashes}))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).distinct()
-    counts = chosen.select("lang", F.lower("text").alias("text")).mapInArrow(tidy(_counted), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    often = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    # each word costs three bytes of the sample and more, so no more of them can be in it
-    best = counts.withColumn("k", F.row_number().over(often)).where(F.col("k") <= max(1, size // 3)).select("lang", "word", "k")
+    chosen = labelled.where(F.xxhash64(text_col).isin(sorted({h for _, h in hashes}))).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.lower(F.substring(text_col, 1, size)).alias("text")).distinct()
     out: dict[str, list[bytes]] = {}
     left: dict[str, int] = {}
-    for r in sorted(best.collect(), key=lambda r: (r.lang, r.k)):
-        w = bytes(r.word)
-        left[r.lang] = left.get(r.lang, size) - len(w) - 2
-        if left[r.lang] >= 0:
-            out.setdefault(r.lang, []).append(w)
-        else:
-            left[r.lang] = -1  # the first word that doesn't fit ends the sample
-    return {k: v for k, v in out.items() if v}
+    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, r.text)):
+        text = b"\x01".join(_WORD.findall(r.text.encode()))[: left.setdefault(r.lang, size)]
+        if (r.lang, r.h) in hashes and text:
+            left[r.lang] -= len(text)
+            out.setdefault(r.lang, []).append(text)
+    return out
 
 
 def identify(docs: DataFrame, samples: dict[str, list[bytes]], *, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1: 0.5 is a tie, 0 for ``und``) and ``phrase_rate`` (phrases per byte).
 
     ``und`` stands for a null or empty text and for one without a letter, and for all texts if nothing was learned.
-    Ties go to the first language by name. Texts are read whole. Rows, null ids and other columns are kept as they are;
+    Ties go to the first language by name. Texts are read whole, of any length. Equal rows have equal results. Rows, null ids and other columns are kept as they are;
     a column with one of the three ``names`` is replaced.
     """
     ship(docs.sparkSession)
