@@ -1,10 +1,11 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is partitioned by documents: each shard stores, for the words of its documents that the test set has, sorted
-postings (term, place), with places apart by more than a window between documents. A test set is cut into windows and
-sent to all shards, a bounded number of words at a time; in each shard a window starts from its rarest term's list,
-which is moved by the term's offset and intersected with the next rarest lists, until none is left or all agree.
-With ``slop`` 0 that is an exact phrase; with more, each term may stand so many words off its place (proximity).
+The index is written once to the shared folder, partitioned by documents: each shard stores sorted postings (term,
+place) of its documents' words, with places apart by more than a window between documents. Where the test set's
+vocabulary is small enough to send, only its words are posted. A test set is cut into windows and sent to all shards, a
+bounded number of words at a time, and each part reads the same index; in each shard a window starts from its rarest
+term's list, which is moved by the term's offset and intersected with the next rarest lists, until none is left or all
+agree. With ``slop`` 0 that is an exact phrase; with more, each term may stand so many words off its place (proximity).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.shared import saved, ship
+from accordant.llm.shared import BROADCAST_ROWS, dropped, saved, ship
 from accordant.llm.textbytes import U, chunks, ranges, tidy, utf8, word_table, words
 
 WINDOW = 13
@@ -69,15 +70,14 @@ def _index(terms_of):
             for i, j in chunks(at):
                 hashes, first, _, _ = words(data[at[i] : at[j]], at[i : j + 1], WORD_BYTES)
                 n = np.diff(first)
-                k = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-                known = np.flatnonzero(vocabulary[k] == hashes) if len(vocabulary) else np.zeros(0, np.int64)
+                known = np.arange(len(hashes)) if vocabulary is None else np.flatnonzero(vocabulary[np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)] == hashes) if len(vocabulary) else np.zeros(0, np.int64)
                 doc = np.searchsorted(first, known, "right") - 1
                 place.append(base + known + (doc + i) * GAP)
-                which.append(k[known])
+                which.append(hashes[known])
                 counts.append(n)
                 base += len(hashes)
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            which = np.concatenate(which) if which else np.zeros(0, np.int64)
+            which = np.concatenate(which) if which else np.zeros(0, U)
             place = np.concatenate(place) if place else np.zeros(0, np.int64)
             order = np.argsort(which, kind="stable")
             which, place = which[order], place[order]
@@ -86,7 +86,7 @@ def _index(terms_of):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (n.astype(np.int64), vocabulary[which[heads]], np.append(heads, len(which)).astype(np.int64), place.astype(np.int64))),
+                    *(pa.array([x.tobytes()], pa.binary()) for x in (n.astype("<i4"), which[heads].astype("<u8"), np.append(heads, len(which)).astype("<i4"), place.astype("<i4"))),
                 ],
                 ["ids", "n_words", "terms", "heads", "places"],
             )
@@ -135,7 +135,7 @@ def _found(tests, slop: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 ids = batch.column("ids")[r].values
-                n_words, heads, places = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in ("n_words", "heads", "places"))
+                n_words, heads, places = (np.frombuffer(batch.column(c)[r].as_py(), "<i4").astype(np.int64) for c in ("n_words", "heads", "places"))
                 terms = np.frombuffer(batch.column("terms")[r].as_py(), U)
                 which, start = intersect(test, terms, heads, places, slop)
                 docs = len(n_words)
@@ -170,26 +170,27 @@ def _found(tests, slop: int):
     return run
 
 
-def build_index(docs: DataFrame, vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a shard: ids and word counts of its documents, and the postings of the words in ``vocabulary``, a
-    broadcast array of sorted term hashes. It can be written and searched later with any test set of these words."""
+def build_index(docs: DataFrame, vocabulary=None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a shard: ids and word counts of its documents, and the postings of their words; with ``vocabulary``, a
+    broadcast array of sorted term hashes, of these words alone. Written, it can be searched with any test set whose
+    words were posted. A shard is an Arrow batch, or one document beyond that."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_index(lambda: vocabulary.value), _INDEX.format(kind=kind))
+    return base.mapInArrow(tidy(_index(lambda: None if vocabulary is None else vocabulary.value)), _INDEX.format(kind=kind))
 
 
 def search(index: DataFrame, test, *, slop: int = 0) -> DataFrame:
     """``(id, n_words, n_hit, items, spans)`` for each document of ``index``; ``test`` is a broadcast ``TestSet``."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    return index.mapInArrow(_found(lambda: test.value, slop), _FOUND.format(kind=kind))
+    return index.mapInArrow(tidy(_found(lambda: test.value, slop)), _FOUND.format(kind=kind))
 
 
-def _searched(docs: DataFrame, test, slop: int) -> DataFrame:
-    """``search`` of ``build_index``, shard by shard in one worker where the index is not kept."""
-    kind = docs.schema["id"].dataType.simpleString()
-    index, found = _index(lambda: test.value.terms), _found(lambda: test.value, slop)
-    return docs.mapInArrow(tidy(lambda batches: found(index(batches))), _FOUND.format(kind=kind))
+def _terms(batches):
+    for batch in batches:
+        data, at = utf8(batch.column("text"))
+        for i, j in chunks(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(data[at[i] : at[j]], at[i : j + 1], WORD_BYTES)[0]).view(np.int64))], ["term"])
 
 
 def find_overlaps(
@@ -203,6 +204,7 @@ def find_overlaps(
     window: int = WINDOW,
     slop: int = 0,
     test_words: int = TEST_WORDS,
+    vocabulary: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(id, n_words, n_hit, items, spans)`` for each row of ``docs``.
 
@@ -210,7 +212,9 @@ def find_overlaps(
     any occurrence is hit; ``items`` are the items with such windows, sorted, ``spans`` the hit words as half-open
     ranges. Null texts have no words, items without words or with a null id no windows. Repeated items are one item,
     repeated rows are documents of their own. Null ids and other columns are no matter; no rows give no rows. A test
-    set of more than ``test_words`` words is sent in parts, and a document's spans and items are united.
+    set of more than ``test_words`` words is sent in parts, and a document's spans and items are united. Documents of
+    any length are read whole; the postings of one must fit in a worker. Beyond ``vocabulary`` different test words, all
+    words are posted. Items need ids that are whole numbers or read as such; ids of documents may be of any type.
     """
     if window + 2 * slop > GAP:
         raise ValueError(f"window + 2 * slop may be {GAP} at most")
@@ -219,16 +223,22 @@ def find_overlaps(
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2
     parts = 1 + size // test_words
-    out = None
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if parts > 1:
-        docs = saved(docs.withColumn("row", F.monotonically_increasing_id()).select(F.struct("row", "id").alias("id"), "text"), "documents")
+    if parts > 1:  # what the parts find in a document is united by its row
+        docs = docs.withColumn("row", F.monotonically_increasing_id()).select(F.struct("row", "id").alias("id"), "text")
+    terms = items.select("text").mapInArrow(_terms, "term long").distinct()
+    few = terms.count() <= vocabulary
+    sent = spark.sparkContext.broadcast(np.sort(np.array([r["term"] for r in terms.collect()], np.int64).view(U))) if few else None
+    index = saved(build_index(docs, sent, id_col="id"), "index")
+    out = None
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p) if parts > 1 else items
         test = TestSet([(r["item"], r["text"]) for r in own.collect()], window)  # at most about test_words words
-        found = _searched(docs, spark.sparkContext.broadcast(test), slop)
+        found = search(index, spark.sparkContext.broadcast(test), slop=slop)
         out = found if out is None else out.unionByName(found)
     if parts == 1:
+        out = saved(out, "overlaps")
+        dropped(index)
         return out
     out = out.groupBy("id").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
@@ -238,7 +248,9 @@ def find_overlaps(
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.b)))), concat(acc, array(x))))"
     )
     out = out.withColumn("spans", merge).withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.b - x.a)"))
-    return out.select(F.col("id.id").alias("id"), "n_words", "n_hit", "items", "spans")
+    out = saved(out.select(F.col("id.id").alias("id"), "n_words", "n_hit", "items", "spans"), "overlaps")
+    dropped(index)
+    return out
 
 
 def contaminated():
