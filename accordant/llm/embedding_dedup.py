@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index: inverted lists of nearest reference points, then exact cosine.
 
-Each vector is described by its ``NEAREST`` closest of ``PIVOTS`` pivots, in order. Rows of equal label that have a
-pivot among these meet in the pivot's list; a pair goes on if it shares ``SHARED`` pivots or more, and the list of the
+Each vector is described by its ``NEAREST`` closest pivots, in order. Rows of equal label that have a pivot among these
+meet in the pivot's list; a pair goes on if it shares enough pivots, and the list of the
 smallest shared pivot verifies it by cosine in double precision. Lists are cut into slices that are compared two by
 two, so no list is gathered in one task, and a group sends counts and a spanning forest of its links, never all pairs.
 Equal vectors are one row with a count.
@@ -18,9 +18,11 @@ from accordant.llm.components import components
 from accordant.llm.minhash_dedup import _grouped
 from accordant.llm.shared import saved, ship
 
-#: Reference points, drawn from a sample of at most ``SAMPLE`` vectors; the pivots of a vector's description; how many
-#: of these two vectors must share. Measured recall is in the README.
-PIVOTS, SAMPLE, NEAREST, SHARED = 64, 4096, 10, 5
+#: Reference points: the square root of the number of vectors, these at least and at most, so that lists grow with the
+#: root; drawn from a sample of four vectors a pivot, ``SAMPLE`` at least. The pivots of a vector's description.
+PIVOTS, MOST_PIVOTS, SAMPLE, NEAREST = 64, 32_000, 4096, 10
+#: How many pivots two vectors must share: the more pivots, the fewer. Measured recall is in the README.
+SHARED = ((512, 5), (2048, 4), (MOST_PIVOTS, 3))
 #: Rows of a list that are compared with as many others.
 SLICE = 1024
 
@@ -97,9 +99,9 @@ def near_vectors(
     vector_col: str = "embedding",
     label_col: str = "label",
     least: float = 0.93,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     nearest: int = NEAREST,
-    shared: int = SHARED,
+    shared: int | None = None,
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for each row.
 
@@ -107,7 +109,7 @@ def near_vectors(
     more. Rows with a null label or id, and vectors that are null, empty, zero or hold null or non-finite numbers, link
     with nothing. Vectors of different lengths aren't compared. Equal vectors are linked if they are valid. Rows with
     the same id are one node and each counts as a link of the others' links. A null id gives a null component and is
-    kept. Other columns are ignored; no rows give no rows.
+    kept. Ids must be whole numbers or read as such. Other columns are ignored; no rows give no rows.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -128,8 +130,10 @@ def near_vectors(
     edges = counts = None
     for size in sorted(r[0] for r in nodes.select(F.size("numbers")).distinct().collect()):  # as a rule one length
         own = nodes.where(F.size("numbers") == size)
-        sample = own.orderBy("nr").select("numbers").limit(SAMPLE).collect()
-        chosen = choose_pivots(_unit(np.array([r[0] for r in sample])), pivots)
+        count = pivots or min(MOST_PIVOTS, max(PIVOTS, round(own.count() ** 0.5)))
+        needed = shared or next(least for most, least in SHARED if count <= most)
+        sample = own.orderBy("nr").select("numbers").limit(max(SAMPLE, 4 * count)).collect()
+        chosen = choose_pivots(_unit(np.array([r[0] for r in sample])), count)
         sent = spark.sparkContext.broadcast(chosen)
         packed = own.select(F.col("nr").alias("id"), "label", "weight", "numbers")
         described = packed.mapInPandas(_pack(sent, nearest), "id long, label string, weight long, vector binary, near binary")
@@ -139,7 +143,7 @@ def near_vectors(
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         dealt = dealt.select(F.xxhash64("label").alias("label"), "pivot", F.least("part", "other").alias("s"), F.greatest("part", "other").alias("t"), "part", "id", "weight", "vector", "near")
         dealt = dealt.repartition("label", "pivot", "s", "t").sortWithinPartitions("label", "pivot", "s", "t")
-        found = saved(dealt.mapInArrow(_links(shared, least, len(chosen)), "u long, v long, n long"), "links")
+        found = saved(dealt.mapInArrow(_links(needed, least, len(chosen)), "u long, v long, n long"), "links")
         edges = found.where("u <> v").select("u", "v") if edges is None else edges.unionByName(found.where("u <> v").select("u", "v"))
         counts = found.where("u = v") if counts is None else counts.unionByName(found.where("u = v"))
     none = spark.createDataFrame([], "u long, v long, n long")

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, and on awkward ones."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -234,8 +235,8 @@ def tokens(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize("test_words", [500_000, 40])
-def test_decontamination(spark, docs, awkward, empty, test_words):
+@pytest.mark.parametrize("test_words, vocabulary", [(500_000, 1_000_000), (40, 1_000_000), (40, 0)])
+def test_decontamination(spark, docs, awkward, empty, test_words, vocabulary):
     items = [(10, " ".join(TEXTS[3].split()[20:60])), (11, "one"), (12, None), (13, "..."), (None, "two words"), (14, TEXTS[0][:300]), (14, "two words"), (15, words(20, 77))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = {}
@@ -252,12 +253,23 @@ def test_decontamination(spark, docs, awkward, empty, test_words):
                     hit |= set(range(k, k + size))
                     got |= windows[tuple(w[k : k + size])]
         want.append((len(w), len(hit), sorted(got)))
-    got = {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in deco.find_overlaps(docs, bench, test_words=test_words).collect()}
+    got = {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in deco.find_overlaps(docs, bench, test_words=test_words, vocabulary=vocabulary).collect()}
     assert [got[i] for i in range(len(TEXTS))] == want
     assert deco.find_overlaps(awkward, bench, test_words=test_words).count() == 5 and deco.find_overlaps(empty, bench).count() == 0
     assert deco.find_overlaps(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_stored_index(spark, docs):
+    """An index that was written once answers test sets that come later, text ids included."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    index = saved(deco.build_index(named), "index")
+    for items in ([(1, " ".join(TEXTS[3].split()[5:40]))], [(7, "two words"), (8, "one")]):
+        test = spark.sparkContext.broadcast(deco.TestSet(items, 13))
+        got = {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in deco.search(index, test).collect()}
+        whole = deco.find_overlaps(named, spark.createDataFrame(items, "item_id long, text string"))
+        assert got == {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in whole.collect()} and sum(v[1] for v in got.values()) > 0
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "alpha beta xx gamma delta epsilon"), (3, "epsilon delta")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
@@ -287,9 +299,23 @@ def test_embeddings(spark):
     assert [got[k] for k in range(len(rows) - 1)] == [(links[k], up[k], up[k] == k) for k in range(len(rows) - 1)]
     found = sum(g["n_links"] for g in emb.near_vectors(df).collect())
     assert found >= 0.9 * sum(links)
+    assert sum(g["n_links"] for g in emb.near_vectors(df, pivots=16).collect()) <= sum(links)
     assert emb.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [None, 300])
+def test_recall(spark, pivots):
+    """Recall against brute force on 2,400 vectors in clusters, with the pivots of the default and with many more."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(300, 48))
+    x = np.concatenate([base + r.normal(size=base.shape) * s for s in np.linspace(0.05, 0.4, 8)])
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit, label = x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(len(x)) % 3
+    true = ((unit @ unit.T >= 0.93) & (label[:, None] == label)).sum() - len(x)
+    found = emb.near_vectors(df, pivots=pivots).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * true <= found <= true and true > 1000
+
+
 def test_language(spark, docs, awkward, empty):
     parts = {"aa": ["lorem", "ipsum", "dolor", "amet", "élan"], "bb": ["quick", "brown", "foxes", "jump", "über"]}
     rows = [(i, " ".join(random.Random(i).choices(parts[k], k=30)), k) for i in range(60) for k in [("aa", "bb")[i % 2]]]
@@ -303,31 +329,49 @@ def test_language(spark, docs, awkward, empty):
     assert {r["lang_pred"] for r in lang.identify(tests, {}).collect()} == {"und"} and lang.learn(empty) == {}
 
 
-def test_language_counts_whole_documents(spark):
-    """Words beyond the first 20,000 of a document are counted: the sample holds the most frequent ones of all."""
-    late = "seldom " + "early " * 20_000 + "later " * 30_000
-    train = spark.createDataFrame([(1, late, "aa"), (2, "Élan, élan und und mehr " + "x" * 40, "bb"), (3, None, "aa"), (4, "text", None)], "doc_id long, text string, lang string")
-    assert lang.learn(train) == {"aa": [b"later", b"early", b"seldom"], "bb": [b"und", "élan".encode(), b"mehr", b"x" * 32]}
-    assert lang.learn(train, size=8) == {"aa": [b"later"], "bb": [b"und"]}
+def test_language_sample(spark):
+    """Samples hold running text with one mark between words, so many bytes of a language together; repeated rows count once."""
+    long = "Seldom, seldom " + "early " * 9000
+    train = spark.createDataFrame([(1, long, "aa"), (2, "Élan 12 -- und\tmehr", "bb"), (2, "Élan 12 -- und\tmehr", "bb"), (3, None, "aa"), (4, "text", None), (5, "123", "cc")], "doc_id long, text string, lang string")
+    got = lang.learn(train)
+    assert got["bb"] == ["élan\x01und\x01mehr".encode()] and set(got) == {"aa", "bb"}
+    assert got["aa"] == [(b"seldom\x01seldom\x01" + b"early\x01" * 9000)[: lang.SAMPLE_BYTES - 1]]
+    assert lang.learn(train, size=6) == {"aa": [b"seldom"], "bb": ["élan".encode()]}
 
 
-def test_automaton():
+@pytest.mark.parametrize("run", [512, 7])
+def test_automaton(monkeypatch, run):
+    """Phrases of whole texts, over words, against a search for the longest substring; in runs if texts are longer."""
+    monkeypatch.setattr(lang, "RUN", run)
     r = random.Random(0)
-    for _ in range(30):
-        ws = [bytes(r.choices(b"abc", k=r.randrange(1, 9))) for _ in range(5)]
-        p = lang.Parser({"x": ws})
-        inside = {(b"\x01" + w + b"\x01")[i:j] for w in ws for i in range(len(w) + 3) for j in range(i, len(w) + 3)}
-        tests = [bytes(r.choices(b"abcd", k=r.randrange(1, 9))) for _ in range(20)]
-        want = []
-        for t in tests:
-            t, n = b"\x01" + t + b"\x01", 0
-            while t:
-                k = max((k for k in range(len(t) + 1) if t[:k] in inside), default=0) or 1
-                t, n = t[k:], n + 1
-            want.append(n)
-        data = np.frombuffer(b"".join(tests), np.uint8)
-        ends = np.cumsum([len(t) for t in tests])
-        assert p.phrases(data, ends - [len(t) for t in tests], ends)[:, 0].tolist() == want
+    for _ in range(20):
+        samples = {x: [bytes(r.choices(b"abc\x01", k=r.randrange(1, 20))) for _ in range(4)] for x in "xy"}
+        p = lang.Parser(samples)
+        texts = [bytes(r.choices(b"abcd., ", k=r.randrange(0, 30))) for _ in range(15)]
+        data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        codes, begin, size = p.stream(data, at)
+        got = p.phrases(codes, begin)
+        assert size.tolist() == [sum(c in b"abcd" for c in t) for t in texts]
+        for k, x in enumerate("xy"):
+            inside = {(b"\x01" + w + b"\x01")[i:j] for w in samples[x] for i in range(len(w) + 3) for j in range(i, len(w) + 3)}
+            want = []
+            for t in texts:
+                t, n = re.sub(rb"[^a-d]+", b"\x01", re.sub(rb"^[^a-d]+", b"", t)), 0
+                for own in (t[i : i + run] for i in range(0, len(t), run)):
+                    while own:
+                        m = max((m for m in range(len(own) + 1) if own[:m] in inside), default=0) or 1
+                        own, n = own[m:], n + 1
+                want.append(n)
+            assert got[:, k].tolist() == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_language_query(spark):
+    """The query on held-out documents, against their labels; no label, source or id reaches a prediction."""
+    got = lang.op7_language_id(spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    held = got.where("held_out").join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1)), F.min("score"), F.max("score")).first()
+    assert held[0] >= 0.98 and held[1] > 200 and 0 <= held[2] and held[3] <= 1 and got.count() == 1000
 
 
 PAGE = (
