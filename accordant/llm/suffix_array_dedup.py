@@ -391,7 +391,7 @@ def _hot_spans(hot: DataFrame, length: int, gram: int, keep) -> DataFrame:
     def different(bands):
         return bands.groupBy("core", "own").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "digest", "a", "b")).alias("lead"))
 
-    bands = keep(hot.mapInArrow(tidy(_bands(length, gram, max(1, min(STEP, length // 8)))), _BAND_DDL), "bands")
+    bands = keep(hot.mapInArrow(tidy(_bands(length, gram, max(1, length // 6))), _BAND_DDL), "bands")
     cuts = different(bands)
     cores = cuts.groupBy("core").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
     crowd = cores.where("kinds > %d" % CROWD).select("core")
