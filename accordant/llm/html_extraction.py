@@ -36,6 +36,11 @@ MARKS = set(
     "notice notices popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations comment comments disqus reply replies respond "
     "pagination pager skip toolbar widget popular trending".split()
 )
+# Words that may stand beside a mark in a class name without changing what it says.
+AROUND = set(
+    "site page main top bottom left right box block wrapper wrap container inner outer content list area section item items bar slot unit button buttons link links post posts entry article form global primary secondary "
+    "mobile desktop header body text title icon icons row col column panel module holder group google user x js".split()
+)
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary "
     "table tbody td tfoot th thead tr ul".split()
@@ -48,6 +53,16 @@ _MARK = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _marked(value: str) -> bool:
+    """Whether one of the names in a class or id says that this isn't main text: it is a mark, or marks and words that
+    go with one. ``cookie-notice`` and ``ad-slot`` are, ``share-price`` and ``notice-period`` aren't."""
+    for name in value.split():
+        words = _MARK.findall(name)
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in AROUND for w in words):
+            return True
+    return False
+
+
 def _says_no(name: str, attributes: str) -> bool:
     if name in BOILERPLATE:
         return True
@@ -57,7 +72,7 @@ def _says_no(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and name not in ("body", "html", "main", "article") and MARKS.intersection(_MARK.findall(value)):
+        if key in ("class", "id") and name not in ("body", "html", "main", "article") and _marked(value):
             return True
         if key in ("class", "id") and name == "article" and {"comment", "comments", "reply"}.intersection(_MARK.findall(value)):
             return True
@@ -232,6 +247,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """``(page_id, url, text, n_chars)`` for each row of ``pages``; blocks are joined by a line feed.
 
     Null and empty pages, and pages without main text, give an empty text. Pages without a host share the empty host.
+    Of windows that occur on several pages, all occurrences go, whatever their number.
     Equal rows are one page to the count, so they don't remove each other's text; null and repeated ids are kept
     as they are. Other columns are ignored; no rows give no rows; pages of any length are read whole.
     """

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,24 @@ def test_repeats(docs, monkeypatch, length, hot, crowd, step):
     assert [got[i] for i in range(len(TEXTS))] == brute_repeats(TEXTS, length)
 
 
+def test_long_texts_are_cut(monkeypatch):
+    """Anchors of a text beyond the places that an anchor can hold: windows are in one stretch each, equal windows have
+    equal anchors at equal places."""
+    monkeypatch.setattr(sad, "_PLACE", 9)
+    r = random.Random(2)
+    part = bytes(r.choices(b"abcdef ", k=300))
+    text = b"".join(part if k % 3 else bytes(r.choices(b"abcdef ", k=217)) for k in range(12))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"r"]), pa.array([3]), pa.array([text.decode()])], ["row", "weight", "text"])
+    rows = [x for b in sad._stretches(40, 13)([batch]) for x in b.to_pylist()]
+    seen, times = {}, Counter()
+    for x in rows:
+        for w in range(x["start"], x["start"] + x["size"] - 39):
+            times[w] += 1
+            own = text[w : w + 40]
+            assert seen.setdefault(own, (x["anchor"], x["start"] + x["place"] - w)) == (x["anchor"], x["start"] + x["place"] - w)
+    assert set(times) == set(range(len(text) - 39)) and set(times.values()) == {1}
+
+
 def test_interval_expansion():
     r = np.random.default_rng(1)
     for _ in range(60):
@@ -381,6 +400,13 @@ PAGE = (
 )
 
 
+def test_class_names():
+    kept = ("share-price", "popular-science", "notice-period", "register-of-births", "adagio", "navigator-notes", "")
+    gone = ("cookie-notice", "ad", "ad-slot x", "y related-posts", "site-footer", "share-buttons", "sidebar_left", "comment-list", "ad-300x250", "newsletter")
+    page = "<article>" + "".join(f'<div class="{c}">text {k}</div>' for k, c in enumerate(kept + gone)) + "</article>"
+    assert [t for s, t in html_.blocks(page) if s == html_.MAIN] == [f"text {k}" for k in range(len(kept))]
+
+
 def test_pages(spark):
     assert [t for s, t in html_.blocks(PAGE) if s == html_.MAIN] == ["A & B", "One two é bold", "Three <x>", "i", "j"]
     line = "subscribe to our weekly letter and never miss any of the news again"
