@@ -29,11 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{LOCAL_FOLDER}"
 
 
+#: For folders that are mounted on all machines: no checksum file beside each part, as Parquet has its own, and with it
+#: half of the helper processes that an executor starts to set the permissions of new files.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once and written as Parquet; later reads need none of its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/accordant/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    (df.write.options(**_PLAIN_FILES) if path.startswith("file:") else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
