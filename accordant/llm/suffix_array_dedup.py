@@ -342,7 +342,8 @@ def _bands(length: int, gram: int, step: int):
     return run
 
 
-_CUT_DDL = "core long, own long, twice boolean, bytes binary"
+_CUT = ("core", "own", "a", "twice", "shared")
+_CUT_DDL = "anchor long, digest long, core long, own long, a int, twice boolean, shared boolean, bytes binary"
 
 
 def _cuts(batches):
@@ -356,7 +357,8 @@ def _cuts(batches):
         ends = np.concatenate(([0], np.cumsum(size)))
         for i, j in chunks(ends, 1 << 21):
             packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.py_buffer(data[ranges((base + a)[i:j], size[i:j])])])
-            yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(i, j - i) for c in ("core", "own", "twice")), packed], ["core", "own", "twice", "bytes"])
+            who = pa.array(np.repeat(np.arange(batch.num_rows), counts)[i:j])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(who) for c in ("anchor", "digest")), *(flat.field(c).slice(i, j - i) for c in _CUT), packed], ["anchor", "digest", *_CUT, "bytes"])
 
 
 def _cut_block(length: int):
@@ -369,14 +371,13 @@ def _cut_block(length: int):
             pieces += [own, b"\xff"] * (2 if twice else 1)
             at += (len(own) + 1) * (2 if twice else 1)
         hit = repeated_starts(np.frombuffer(b"".join(pieces), np.uint8), length)
-        core, own, spans = [], [], []
-        for w, c, o, size in zip(where, frame["core"], frame["own"], frame["bytes"].map(len)):
+        kept, spans = [], []
+        for k, (w, size) in enumerate(zip(where, frame["bytes"].map(len))):
             starts = np.flatnonzero(hit[w : w + size - length + 1])
             if len(starts):
-                core.append(c)
-                own.append(o)
+                kept.append(k)
                 spans.append([{"a": int(x), "b": int(y)} for x, y in zip(*_merge(starts, starts + length))])
-        return pd.DataFrame({"core": pd.Series(core, dtype="int64"), "own": pd.Series(own, dtype="int64"), "spans": pd.Series(spans, dtype=object)})
+        return frame.iloc[kept][["anchor", "digest", "core", "own", "a", "shared"]].assign(spans=pd.Series(spans, dtype=object, index=frame.index[kept]))
 
     return run
 
@@ -389,7 +390,7 @@ def _hot_spans(hot: DataFrame, length: int, gram: int, keep) -> DataFrame:
     """``(anchor, digest, spans)`` of stretches with hot anchors, ``hot(anchor, digest, n, place, bytes)``."""
 
     def different(bands):
-        return bands.groupBy("core", "own").agg(F.sum("n").alias("n"), F.min(F.struct("anchor", "digest", "a", "b")).alias("lead"))
+        return bands.groupBy("core", "own").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min(F.struct("anchor", "digest", "a", "b")).alias("lead"))
 
     bands = keep(hot.mapInArrow(tidy(_bands(length, gram, max(1, length // 6))), _BAND_DDL), "bands")
     cuts = different(bands)
@@ -406,12 +407,18 @@ def _hot_spans(hot: DataFrame, length: int, gram: int, keep) -> DataFrame:
         bands, cuts = bands.unionByName(single), cuts.unionByName(different(single).where("n > 1"))
     total = cuts.agg(F.coalesce(F.sum(F.col("lead.b") - F.col("lead.a")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
-    lists = cuts.withColumn("twice", F.col("n") > 1).groupBy(F.col("lead.anchor").alias("anchor"), F.col("lead.digest").alias("digest"))
-    lists = lists.agg(F.collect_list(F.struct("core", "own", "twice", "lead.a", "lead.b")).alias("cuts"))
+    lists = cuts.groupBy(F.col("lead.anchor").alias("anchor"), F.col("lead.digest").alias("digest"))
+    lists = lists.agg(F.collect_list(F.struct("core", "own", "lead.a", "lead.b", (F.col("n") > 1).alias("twice"), (F.col("m") > 1).alias("shared"))).alias("cuts"))
     parts = hot.select("anchor", "digest", "bytes").join(lists, ["anchor", "digest"]).mapInArrow(tidy(_cuts), _CUT_DDL)
     dealt = parts.withColumn("block", F.pmod(F.xxhash64("core"), F.lit(blocks)))
-    found = keep(dealt.groupBy("block").applyInPandas(lambda frame: _cut_block(length)(frame), "core long, own long, spans array<struct<a: int, b: int>>"), "found")
-    return bands.join(found, ["core", "own"]).select("anchor", "digest", _moved("a").alias("spans")).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    kind = "anchor long, digest long, core long, own long, a int, shared boolean, spans array<struct<a: int, b: int>>"
+    found = keep(dealt.groupBy("block").applyInPandas(lambda frame: _cut_block(length)(frame), kind), "found")
+    # a cut's own stretch is known; others that have the same cut look it up
+    more = found.where("shared").select("core", "own", "spans", F.struct("anchor", "digest", "a").alias("first"))
+    there = F.struct(*[bands[c] for c in ("anchor", "digest", "a")])
+    others = bands.join(more, (bands["core"] == more["core"]) & (bands["own"] == more["own"]) & (there != more["first"]))
+    every = found.select("anchor", "digest", _moved("a").alias("spans")).unionByName(others.select("anchor", "digest", _moved("a").alias("spans")))
+    return every.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
