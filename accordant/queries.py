@@ -14,6 +14,7 @@ from accordant.functions.compare import ColumnFacts, ColumnOptions, compare
 from accordant.operators import aggregate as A
 from accordant.operators import keys as K
 from accordant.operators import profile as P
+from accordant.operators import ranks
 from accordant.operators import records as R
 from accordant.operators import schema as S
 from accordant.operators import statistics as T
@@ -170,7 +171,8 @@ def difference_summary(spark, d):
 round(unnest(quantile_cont(d, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])), 4) AS value FROM x""")
 def difference_percentiles(spark, d):
     records, plans = matched(spark, d)
-    found = R.column_statistics(records, [p for p in plans if p.column == "o_totalprice"])["o_totalprice"]["mismatch_percentiles"]
+    frames, wanted = R.difference_series(records, [p for p in plans if p.column == "o_totalprice"])
+    found = ranks.measure(ranks.counted(frames), wanted)[1]["a_quantiles"]  # the second series: differences of mismatches
     return spark.createDataFrame([(p, round(v, 4)) for p, v in zip(R.PERCENTILES, found)], "p double, value double")
 
 
